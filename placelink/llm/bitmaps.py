@@ -100,7 +100,7 @@ def _fold(key, it):
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], ["chunk", "twice"])
 
 
-def _fold_table(key, table: pa.Table) -> pa.Table:
+def _fold_table(key, table):
     return pa.Table.from_batches(list(_fold(key, table.to_batches())), schema=pa.schema([("chunk", pa.int32()), ("twice", pa.binary())]))
 
 
