@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLE_SQL = {
