@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing
+from . import exact_dedup, fingerprints, line_dedup, packing
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_imatch_fingerprints": fingerprints.op10_imatch_fingerprints,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
