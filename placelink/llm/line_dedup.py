@@ -123,6 +123,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     found = bitmaps.share(spark, bitmaps.merged_twice(parts, bits))
     pairs = shared.stored(docs.mapInArrow(_suspects(found, min_chars), "key long, doc_id long"), "line-suspects")
     counts = pairs.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs)
+    counts = shared.stored(counts, "hot-lines")  # the join then reads both sides by exchanges that Spark can split at a hot line
     gone = pairs.join(counts.hint("merge"), "key").where("doc_id <> keep").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     out = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * keep_text
     return docs.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_rewrite(min_chars, keep_text), out)
