@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, langid, line_dedup, packing
+from . import exact_dedup, fingerprints, langid, line_dedup, packing, toxicity
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_imatch_fingerprints": fingerprints.op10_imatch_fingerprints,
 }
 ORACLE_SQL = {

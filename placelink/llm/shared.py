@@ -66,10 +66,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def batches(it, cols, max_bytes: int = 4 << 20):
-    """Slices of the Arrow batches with at most ``max_bytes`` of text in column 1, or one row."""
+def batches(it, _cols, max_bytes: int = 4 << 20, at: int = 1):
+    """Slices of the Arrow batches with at most ``max_bytes`` of text in column ``at``, or one row."""
     for rb in it:
-        text = rb.column(cols.index("text"))
+        text = rb.column(at)
         lens = pa.compute.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, n in enumerate(lens):
