@@ -48,8 +48,12 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> list[int]:
     return out
 
 
+def part_hash(terms: str) -> Column:
+    return F.hash(terms).bitwiseAND(F.lit(0x7FFF)).cast("smallint")
+
+
 def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int]) -> DataFrame:
-    """``df`` with, for each column name in ``texts``, the hashes of the subsets (array<int>, level
+    """``df`` with, for each column name in ``texts``, the 15-bit hashes of the subsets (level
     by level, null for an empty subset) and their number of terms under ``<name>_terms``. Each
     step is a projection of its own, so nothing is computed twice."""
     bits = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
@@ -67,11 +71,11 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int]) -
     for k in range(1, LEVELS + 1):
         keep = [c for c in df.columns if not c.endswith(f"_{k - 1}") or not c.startswith("__")]
         subsets = [F.filter(f"__{n}_{j}_{k - 1}", clear(k)).alias(f"__{n}_{j}_{k}") for n in texts for j in range(SEEDS)]
-        done = [F.when(F.size(f"__{n}_{j}_{k - 1}") > 0, F.hash(f"__{n}_{j}_{k - 1}")).alias(f"__h_{n}_{j}at{k - 1}") for n in texts for j in range(SEEDS)] if k > 1 else []
+        done = [F.when(F.size(f"__{n}_{j}_{k - 1}") > 0, part_hash(f"__{n}_{j}_{k - 1}")).alias(f"__h_{n}_{j}at{k - 1}") for n in texts for j in range(SEEDS)] if k > 1 else []
         df = df.select(*keep, *subsets, *done)
         for n in texts:
             hashes[n] += [f"__h_{n}_{j}at{k - 1}" for j in range(SEEDS)] if k > 1 else []
-    last = {f"__h_{n}_{j}at{LEVELS}": F.when(F.size(f"__{n}_{j}_{LEVELS}") > 0, F.hash(f"__{n}_{j}_{LEVELS}")) for n in texts for j in range(SEEDS)}
+    last = {f"__h_{n}_{j}at{LEVELS}": F.when(F.size(f"__{n}_{j}_{LEVELS}") > 0, part_hash(f"__{n}_{j}_{LEVELS}")) for n in texts for j in range(SEEDS)}
     for n in texts:
         hashes[n] += [f"__h_{n}_{j}at{LEVELS}" for j in range(SEEDS)]
     df = df.withColumns(last)
@@ -91,7 +95,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def fingerprint_string(name: str) -> Column:
-    parts = F.transform(F.col(name), lambda h: F.coalesce(F.lpad(F.lower(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"), F.lit("-")))
+    parts = F.transform(F.col(name), lambda h: F.coalesce(F.lpad(F.lower(F.hex(h.cast("bigint"))), 4, "0"), F.lit("-")))
     return F.concat(F.col(f"{name}_terms").cast("string"), F.lit(":"), F.array_join(parts, ""))
 
 
