@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, langid, line_dedup, packing, toxicity
+from . import exact_dedup, fingerprints, langid, line_dedup, mixing, packing, toxicity
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_mixing": mixing.op9_mixing,
     "op10_imatch_fingerprints": fingerprints.op10_imatch_fingerprints,
 }
 ORACLE_SQL = {
