@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, langid, line_dedup, mixing, packing, toxicity
+from . import exact_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
