@@ -8,13 +8,13 @@ distributed:
 1. One pass gives each set's size and fingerprint and a count sketch of all shingles of all
    documents. The sketch (2**20 counters, whatever the input) only fixes a global order, rare
    shingles first; any order is correct.
-2. With L = T - 1 lists probed as long ones, a partner must stand in one of the n - T + 1 short
-   lists, those of the node's rarest shingles. A pair of Bloom filters drops lists of one node;
-   nodes left with a list keep their whole set in a table.
-3. Short lists are merged by a shuffle on the shingle. Not all pairs of a list are emitted: each
-   node first meets one pivot, verified pairs become components, and lists within one component
-   are done. Rounds with new pivots go on while the pairs across components are many; then all
-   pairs of a list across components are emitted, none dropped.
+2. With L = T - s lists probed as long ones, a partner must stand in s of the n - T + s short
+   lists, those of the node's rarest shingles. Short lists are merged by a shuffle on the shingle;
+   lists of one node go, then nodes with fewer than s lists; the others' whole sets are stored.
+3. Not all pairs of a list are emitted: each node first meets the pivot of most of its lists,
+   verified pairs become components, and lists within one component are done. Rounds with new
+   pivots go on while the pairs across components are many; then all pairs across components
+   that share s lists are verified, none dropped.
 4. Verification takes a pivot's set as the query and its candidates as a local index: DivideSkip
    merges the short lists, keeps candidates within reach of T, and probes the long lists by
    binary search in the candidates' sorted sets. T and the counts are exact integers.
@@ -85,52 +85,77 @@ def sketch_levels(parts: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(counts / base, 1))).astype(np.uint8)
 
 
+def occurrences(n, percent: int):
+    """Short lists that two sets must share when each gives n - T + occurrences(n) of them; for
+    the smaller of both."""
+    return 1 + n // 24
+
+
+def least_overlap(n, percent: int):
+    """T, the least overlap of a set of size n with any partner, and the least size of a partner."""
+    return -(-percent * n // 100)
+
+
 def short_lists(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The n - T + 1 rarest shingles of a sorted set, T the least overlap with any partner."""
+    """The rarest shingles of a sorted set, all but the T - occurrences most frequent."""
     n = len(s)
-    t = -(-percent * n // 100)
     order = np.argsort(levels[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-    return s[order[: n - t + 1]]
+    return s[order[: n - least_overlap(n, percent) + occurrences(n, percent)]]
 
 
 def _sets_once(it, k: int):
-    """(doc_id, set, fingerprint) of the sets that this task has not had yet."""
+    """Sets, with fingerprints, that this task has not had yet."""
     had: set[tuple[int, int]] = set()
     for rb in shared.batches(it, ["doc_id", "text"]):
-        for doc, s in zip(rb.column(0).to_pylist(), shingles(rb.column(1), k)):
+        for s in shingles(rb.column(1), k):
             key = (fingerprint(s), len(s))
             if len(s) and key not in had:
                 had.add(key)
-                yield doc, s, key[0]
+                yield s, key[0]
 
 
-def _listed_twice(levels, k: int, percent: int, bits: int):
+def _entries(levels, k: int, percent: int):
+    def out(keys, fps):
+        lens = [len(x) for x in keys]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), lens))], ["key", "fp"])
+
     def run(it):
-        pair, held = bitmaps.Pair(bits), []
-        for _, s, _ in _sets_once(it, k):
-            held.append(short_lists(s, levels.value, percent))
-            if sum(map(len, held[-64:])) > 1 << 16 or len(held) >= 512:
-                pair.see(np.concatenate(held))
-                held = []
-        if held:
-            pair.see(np.concatenate(held))
+        keys, fps, size = [], [], 0
+        for s, fp in _sets_once(it, k):
+            keys.append(short_lists(s, levels.value, percent))
+            fps.append(fp)
+            size += len(keys[-1])
+            if size > 1 << 17:
+                yield out(keys, fps)
+                keys, fps, size = [], [], 0
+        if keys:
+            yield out(keys, fps)
+
+    return run
+
+
+def _put_all(bits: int):
+    def run(it):
+        pair = bitmaps.Pair(bits)
+        for rb in it:
+            keys = rb.column(0).to_numpy().view(np.uint64)
+            pair.once.put(keys)
+            pair.twice.put(keys)
         yield from pair.record_batches()
 
     return run
 
 
-def _entries(levels, found, k: int, percent: int):
+def _sets(found, k: int):
     def out(rows):
-        doc, fp, n, s, keys = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "shingles", "keys"])
+        fp, s = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(s, pa.binary())], ["fp", "shingles"])
 
     def run(it):
-        twice, rows, size = bitmaps.opened(found), [], 0
-        for doc, s, fp in _sets_once(it, k):
-            keys = short_lists(s, levels.value, percent)
-            keys = keys[twice.has(keys)]
-            if len(keys):
-                rows.append((doc, fp, len(s), s.tobytes(), keys.view(np.int64)))
+        wanted, rows, size = bitmaps.opened(found), [], 0
+        for s, fp in _sets_once(it, k):
+            if wanted.has(np.array([fp], np.int64).view(np.uint64))[0]:
+                rows.append((fp, s.tobytes()))
                 size += len(s)
             if size > 1 << 18:
                 yield out(rows)
@@ -188,14 +213,22 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (u, v) among ``pairs`` (u, u_doc, v, v_doc); written."""
-    own = nodes.select(F.col("fp").alias("u"), F.col("doc_id").alias("u_doc"), F.col("shingles").alias("u_set"))
-    other = nodes.select(F.col("fp").alias("v"), F.col("doc_id").alias("v_doc"), F.col("shingles").alias("v_set"))
-    both = pairs.join(own.hint("merge"), ["u", "u_doc"]).join(other.hint("merge"), ["v", "v_doc"])
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (u, v) among ``pairs``; written."""
+    own = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("u_set"))
+    other = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("v_set"))
+    both = pairs.join(own.hint("merge"), "u").join(other.hint("merge"), "v")
     return shared.stored(both.select("u", "v", "u_set", "v_set").mapInArrow(_verify(percent), "u long, v long"), "links")
 
 
+def least_overlap_of(n, percent: int):
+    return F.floor((n * percent + 99) / 100)
+
+
+def occurrences_of(n, percent: int):
+    return 1 + F.floor(n / 24)
+
+
 def _similar_sizes(a, b, percent: int):
     return (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
 
@@ -208,13 +241,22 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     raw = shared.stored(docs.mapInArrow(_signatures(k), "doc_id long, n long, fp long, chunk int, counts binary"), "signatures")
     levels = spark.sparkContext.broadcast(sketch_levels(raw.where("chunk IS NOT NULL").select("chunk", "counts")))  # 2**20 bytes
     signatures = raw.where("chunk IS NULL").select(F.when(F.col("doc_id") != _NULL, F.col("doc_id")).alias("doc_id"), "n", "fp")
-    bits = bitmaps.filter_bits(docs)
-    found = bitmaps.share(spark, bitmaps.merged_twice(docs.mapInArrow(_listed_twice(levels, k, percent, bits), bitmaps.SCHEMA), bits))
-    nodes = shared.stored(docs.mapInArrow(_entries(levels, found, k, percent), "doc_id long, fp long, n long, shingles binary, keys array<long>"), "nodes")
-    lists = nodes.select(F.explode("keys").alias("key"), "fp", "n", "doc_id").groupBy("key", "fp", "n").agg(F.min("doc_id").alias("doc"))
-    lists = shared.stored(lists, "lists")
-    size = lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    lists = shared.stored(lists.join(shared.stored(size, "shared-keys").hint("merge"), "key"), "lists")
+    nodes = signatures.where("n > 0").select("fp", "n").distinct()
+    entries = docs.mapInArrow(_entries(levels, k, percent), "key long, fp long").repartition(F.col("key"))
+    held = entries.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
+    lists = shared.stored(entries.join(held.hint("shuffle_hash"), "key").distinct(), "lists")
+    shared.release(spark)
+    # nodes with enough shared lists, whatever the partner; then only those lists count
+    enough = lists.groupBy("fp").agg(F.count("*").alias("c")).join(nodes.hint("merge"), "fp")
+    enough = shared.stored(enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n"), "open-nodes")
+    lists = lists.join(enough.hint("merge"), "fp")
+    held = lists.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
+    lists = shared.stored(lists.join(shared.stored(held, "shared-keys").hint("merge"), "key"), "lists")
+    bits = max(20, min(30, (24 * enough.count()).bit_length()))
+    found = bitmaps.share(spark, bitmaps.merged_twice(enough.select("fp").mapInArrow(_put_all(bits), bitmaps.SCHEMA), bits))
+    sets = docs.mapInArrow(_sets(found, k), "fp long, shingles binary").groupBy("fp").agg(F.max("shingles").alias("shingles"))
+    sets = shared.stored(sets.join(enough.select("fp").hint("merge"), "fp", "left_semi"), "sets")
+    shared.release(spark)
     n_entries = lists.count()
     links = roots = None
     for turn in range(STAR_ROUNDS + 1):
@@ -233,17 +275,20 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
         entries = shared.stored(entries.join(cross.select("key").hint("merge"), "key"), "open-entries")
         last = turn > 0 and (many <= PAIRS_PER_ENTRY * n_entries + 1e5 or turn == STAR_ROUNDS)
         if last:
-            other = entries.select("key", F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("doc").alias("v_doc"), F.col("comp").alias("v_comp"))
+            other = entries.select("key", F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))
             pairs = entries.hint("merge").join(other.hint("merge"), "key").where((F.col("fp") < F.col("v")) & (F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
+            common = pairs.groupBy("fp", "v").agg(F.count("*").alias("common"), F.min(F.least("n", "v_n")).alias("least"))
+            pairs = common.where(F.col("common") >= occurrences_of(F.col("least"), percent)).select(F.col("fp").alias("u"), "v")
         else:
-            seed = F.xxhash64("fp", F.lit(turn)) if turn else F.col("fp")
-            pivot = entries.groupBy("key").agg(F.min(F.struct(seed.alias("order"), F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("doc").alias("v_doc"), F.col("comp").alias("v_comp"))).alias("p"))
+            seed = F.xxhash64("fp", F.lit(turn))
+            pivot = entries.groupBy("key").agg(F.min(F.struct(seed.alias("order"), F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))).alias("p"))
             pivot = shared.stored(pivot.select("key", "p.*"), "pivots")
             pairs = entries.join(pivot.hint("merge"), "key").where((F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
-            if not turn:  # one pivot for each node
-                pairs = pairs.groupBy("fp", "doc").agg(F.min(F.struct("order", "v", "v_doc")).alias("p")).select("fp", "doc", "p.v", "p.v_doc")
-        pairs = pairs.select(F.col("fp").alias("u"), F.col("doc").alias("u_doc"), "v", "v_doc").distinct()
-        new = verified(pairs, nodes, percent)
+            # one pivot for each node: that of most lists
+            pairs = pairs.groupBy("fp", "v").agg(F.count("*").alias("c")).groupBy("fp").agg(F.max(F.struct("c", "v")).alias("p")).select(F.col("fp").alias("u"), "p.v")
+        pairs = shared.stored(pairs, "pairs")
+        new = verified(pairs, sets, percent)
+        shared.release(spark)
         links = new if links is None else links.union(new)
         roots = shared.stored(components(links), "roots")
         if last:
