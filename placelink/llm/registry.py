@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
+from . import exact_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, packing, sentence_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_sentence_span_dedup": sentence_dedup.op2_sentence_span_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
