@@ -82,29 +82,18 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | pad[i : i + n].astype(np.uint64)
-    sa = np.argsort(key, kind="stable")[::1]
+    sa = np.argsort(key)
     k = key[sa]
-    # a shorter suffix sorts first: zero padding ties are settled by length below
     new = np.ones(n, bool)
     new[1:] = k[1:] != k[:-1]
-    tail = np.flatnonzero(sa > n - 8)
-    new[tail] = True
-    new[np.minimum(tail + 1, n - 1)] = True
-    if len(tail):
-        fix = np.lexsort((-sa, k))
-        sa = sa[fix]
-        k = key[sa]
-        new[1:] = (k[1:] != k[:-1]) | (sa[1:] > n - 8) | (sa[:-1] > n - 8)
-        new[0] = True
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = head
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = 8
     tied = np.flatnonzero(~new | ~np.append(new[1:], True))
     while len(tied):
         members = sa[tied]
-        second = rank[np.minimum(members + h, n)] + 1
+        over = n - 1 - members - h  # negative past the end: the shorter suffix sorts first
+        second = np.where(over >= 0, rank[np.minimum(members + h, n - 1)], over) + h + 1
         major = rank[members]
         both = (major.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         order = np.argsort(both)
