@@ -28,7 +28,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k codewords of +1 / -1: all distinct splits for up to 6 languages, else the random code of
     several with the largest least distance."""
     if k <= 1:
-        return np.ones((k, 1), np.float32)
+        return np.ones((max(k, 1), 1), np.float32)
     if k <= 6:
         bits = [c for c in itertools.product([1, -1], repeat=k) if c[0] == 1 and -1 in c]
         return np.array(bits, np.float32).T
