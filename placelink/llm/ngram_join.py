@@ -266,13 +266,13 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
             entries = lists.withColumn("comp", F.col("fp"))
         else:
             entries = lists.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-            entries = shared.stored(entries, "entries")
+            entries = shared.stored(entries, "entries", n_entries)
         by_comp = entries.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        cross = shared.stored(by_comp.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0"), "cross")
+        cross = shared.stored(by_comp.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0"), "cross", n_entries)
         many = cross.agg(F.sum("pairs")).first()[0] or 0
         if not many:
             break
-        entries = shared.stored(entries.join(cross.select("key").hint("merge"), "key"), "open-entries")
+        entries = shared.stored(entries.join(cross.select("key").hint("merge"), "key"), "open-entries", n_entries)
         last = turn > 0 and (many <= PAIRS_PER_ENTRY * n_entries + 1e5 or turn == STAR_ROUNDS)
         if last:
             other = entries.select("key", F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))
@@ -282,7 +282,7 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
         else:
             seed = F.xxhash64("fp", F.lit(turn))
             pivot = entries.groupBy("key").agg(F.min(F.struct(seed.alias("order"), F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))).alias("p"))
-            pivot = shared.stored(pivot.select("key", "p.*"), "pivots")
+            pivot = shared.stored(pivot.select("key", "p.*"), "pivots", n_entries)
             pairs = entries.join(pivot.hint("merge"), "key").where((F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
             # one pivot for each node: that of most lists
             pairs = pairs.groupBy("fp", "v").agg(F.count("*").alias("c")).groupBy("fp").agg(F.max(F.struct("c", "v")).alias("p")).select(F.col("fp").alias("u"), "p.v")
@@ -290,7 +290,8 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
         new = verified(pairs, sets, percent)
         shared.release(spark)
         links = new if links is None else links.union(new)
-        roots = shared.stored(components(links), "roots")
+        n_links = links.count()
+        roots = shared.stored(components(links, n_links), "roots", n_links)
         if last:
             break
     if roots is None:

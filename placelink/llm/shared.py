@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: a batch of long documents must fit a Python worker.
 ARROW_ROWS = 512
+TASK_ROWS = 100_000
 _own_dir: list[str] = []
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here, and
-    lost executors cost no recomputation."""
+    lost executors cost no recomputation. ``rows``, if known, sets the number of tasks and files:
+    one for each ``TASK_ROWS`` narrow rows, up to the number of shuffle partitions."""
+    if rows is not None:
+        df = df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // TASK_ROWS))))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
