@@ -15,7 +15,8 @@ distributed:
    verified pairs become components, and lists within one component are done. Rounds with new
    pivots go on while the pairs across components are many; then all pairs across components
    that share s lists are verified, none dropped.
-4. Verification takes a pivot's set as the query and its candidates as a local index: DivideSkip
+4. Verification sends each set once to the task of its group of candidates (two tasks and more where
+   a group is large), takes each set as a query and its candidates as the local index: DivideSkip
    merges the short lists, keeps candidates within reach of T, and probes the long lists by
    binary search in the candidates' sorted sets. T and the counts are exact integers.
 
@@ -40,6 +41,8 @@ from .vectext import U, mix, shingles
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: Star rounds at most, and the pairs across components for each list entry up to which all are emitted.
 STAR_ROUNDS, PAIRS_PER_ENTRY = 5, 4.0
+#: Shingles of the sets in one block of a group.
+BLOCK_SHINGLES = 1 << 19
 _NULL = -(2**63)
 
 
@@ -194,31 +197,36 @@ def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int, mu:
 
 
 def _verify(percent: int):
-    def run(it):
-        for rb in it:
-            a, b = rb.column(0).to_numpy(), rb.column(1).to_numpy()
-            mine = [np.frombuffer(x.as_py(), np.uint64) for x in rb.column(2)]
-            edges = np.zeros(len(b), bool)
-            at = 0
-            while at < len(b):
-                end = at + 1
-                while end < len(b) and b[end] == b[at]:
-                    end += 1
-                query = np.frombuffer(rb.column(3)[at].as_py(), np.uint64)
-                edges[at:end] = divide_skip(query, mine[at:end], percent)
-                at = end
-            if edges.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[edges]), pa.array(b[edges])], ["u", "v"])
+    def run(_, table):
+        fp, partners = table.column("fp").to_pylist(), table.column("partners").to_pylist()
+        sets = {f: np.frombuffer(x.as_py(), np.uint64) for f, x in zip(fp, table.column("shingles"))}
+        u, v = [], []
+        for f, others in zip(fp, partners):
+            if others:
+                ok = divide_skip(sets[f], [sets[o] for o in others], percent)
+                v += [o for o, k in zip(others, ok) if k]
+                u += [f] * int(ok.sum())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (u, v) among ``pairs``; written."""
-    own = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("u_set"))
-    other = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("v_set"))
-    both = pairs.join(own.hint("merge"), "u").join(other.hint("merge"), "v")
-    return shared.stored(both.select("u", "v", "u_set", "v_set").mapInArrow(_verify(percent), "u long, v long"), "links")
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (u, v) among ``pairs`` (written; distinct); written. Pairs that hang together
+    form a group, whose sets go to one task once: the local index that its queries search. A group
+    with more than ``BLOCK_SHINGLES`` is split in blocks, with a task for two blocks each."""
+    n_pairs = pairs.count()
+    roots = components(pairs, n_pairs)
+    roots = shared.stored(roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().join(sizes.select(F.col("fp").alias("node"), "n").hint("merge"), "node"), "pair-groups", n_pairs)
+    blocks = roots.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    roots = roots.join(shared.stored(blocks, "pair-blocks", n_pairs).hint("merge"), "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    roots = shared.stored(roots, "pair-places", n_pairs)
+    placed = pairs.join(roots.toDF("u", "root", "bu").hint("merge"), "u").join(roots.toDF("v", "root_v", "bv").hint("merge"), "v")
+    placed = placed.select("u", "v", "root", F.least("bu", "bv").alias("b1"), F.greatest("bu", "bv").alias("b2"))
+    rows = placed.select("root", "b1", "b2", F.col("u").alias("fp"), F.col("v").alias("o")).union(placed.select("root", "b1", "b2", F.col("v").alias("fp"), F.lit(None).cast("long").alias("o")))
+    rows = shared.stored(rows.groupBy("root", "b1", "b2", "fp").agg(F.collect_list("o").alias("partners")), "pair-rows", 2 * n_pairs)
+    rows = rows.join(sets.hint("merge"), "fp")
+    return shared.stored(rows.groupBy("root", "b1", "b2").applyInArrow(_verify(percent), "u long, v long"), "links")
 
 
 def least_overlap_of(n, percent: int):
@@ -248,7 +256,7 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     shared.release(spark)
     # nodes with enough shared lists, whatever the partner; then only those lists count
     enough = lists.groupBy("fp").agg(F.count("*").alias("c")).join(nodes.hint("merge"), "fp")
-    enough = shared.stored(enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n"), "open-nodes")
+    enough = shared.stored(enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n", (F.col("c") / F.col("n")).alias("shared")), "open-nodes")
     lists = lists.join(enough.hint("merge"), "fp")
     held = lists.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
     lists = shared.stored(lists.join(shared.stored(held, "shared-keys").hint("merge"), "key"), "lists")
@@ -280,14 +288,15 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
             common = pairs.groupBy("fp", "v").agg(F.count("*").alias("common"), F.min(F.least("n", "v_n")).alias("least"))
             pairs = common.where(F.col("common") >= occurrences_of(F.col("least"), percent)).select(F.col("fp").alias("u"), "v")
         else:
-            seed = F.xxhash64("fp", F.lit(turn))
+            # first the node whose shingles are shared most, as an original's among its edited copies; then others
+            seed = F.struct(F.when(F.lit(turn < 2), -F.col("shared")).otherwise(0.0), F.xxhash64("fp", F.lit(turn)))
             pivot = entries.groupBy("key").agg(F.min(F.struct(seed.alias("order"), F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))).alias("p"))
             pivot = shared.stored(pivot.select("key", "p.*"), "pivots", n_entries)
             pairs = entries.join(pivot.hint("merge"), "key").where((F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
             # one pivot for each node: that of most lists
             pairs = pairs.groupBy("fp", "v").agg(F.count("*").alias("c")).groupBy("fp").agg(F.max(F.struct("c", "v")).alias("p")).select(F.col("fp").alias("u"), "p.v")
         pairs = shared.stored(pairs, "pairs")
-        new = verified(pairs, sets, percent)
+        new = verified(pairs, sets, enough, percent)
         shared.release(spark)
         links = new if links is None else links.union(new)
         n_links = links.count()
