@@ -39,8 +39,8 @@ _ADDR = f"""addr AS (SELECT s_suppkey, r_name, {ADDRESS_SQL.format(text="VARCHAR
 
 
 def with_regions(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Each row with the five regions as candidates."""
-    names = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").limit(64).collect()]
+    """Each row with the five regions, a table of fixed size, as candidates."""
+    names = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
     places = F.array(*[F.struct(F.lit(x).alias("name"), F.array(F.lit(x.title())).alias("aliases"), F.array().cast("array<string>").alias("codes")) for x in names])
     return rows.withColumn("candidates", places)
 
@@ -110,7 +110,7 @@ def typo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def region_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each typed region and each region, the rungs that string containment and edits decide."""
-    regions = [r.r_name.lower() for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").limit(64).collect()]
+    regions = [r.r_name.lower() for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
     df = addresses(spark, sf_dir).select(F.lower("typed").alias("q")).distinct()
     df = df.withColumn("r", F.explode(F.array(*map(F.lit, regions))))
     edits, ratio = F.levenshtein("q", "r"), F.length("r") / F.length("q")
@@ -122,7 +122,7 @@ def region_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arg-max over candidates by edits, ties to the first name."""
-    regions = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_name").limit(64).collect()]
+    regions = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_name").collect()]
     ranked = F.array_sort(F.array(*[F.struct(F.levenshtein(F.upper("typed"), F.lit(x)).alias("edits"), F.lit(x).alias("best")) for x in regions]))
     return addresses(spark, sf_dir).select("s_suppkey", F.get(ranked, 0).alias("b")).select("s_suppkey", "b.best", F.col("b.edits").cast("long").alias("edits"))
 
