@@ -183,3 +183,27 @@ def test_sentences(spark):
     assert all(r.n_removed == 0 and r.kept_text == text[r.doc_id] for r in alone)
     assert {r.n_sentences for r in got if not (text[r.doc_id] or "").strip()} == {0}
     assert sentence_dedup.dedup_sentences(data.frame(spark).limit(0)).count() == 0
+
+
+def test_short_sentences_are_removed(spark):
+    verse = "Red sky at night.\nSailor's delight.\nRed sky at morning.\nSailor's warning."  # three sentences have under 16 words
+    rows = [(1, "Nothing else is said here at all.\n" + verse), (2, verse), (3, "One two.\nThree four."), (4, "One two.\nThree four.")]
+    got = {r.doc_id: r for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[1].kept_text == rows[0][1]
+    assert got[2].n_removed == got[2].n_sentences == 4 and got[2].kept_text == ""
+    assert got[3].n_removed == got[4].n_removed == 0  # fewer than three sentences
+
+
+def test_passages_over_50_words_hold_a_span():
+    rng = random.Random(8)
+
+    def words(n, stops):
+        return "".join(f"w{rng.randint(0, 10**6)}" + (". " if rng.random() < stops else " ") for _ in range(n))
+
+    for _ in range(1500):
+        stops = rng.choice([0, 0.02, 0.06, 0.12, 0.3])
+        passage = words(51, stops)
+        texts = [words(rng.randint(0, 40), stops) + passage + words(rng.randint(0, 40), stops) for _ in range(2)]
+        b = np.frombuffer("".join(texts).encode(), np.uint8)
+        row, at, to, key = sentence_dedup.spans(b, np.array([0, len(texts[0]), len(b)]))
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
