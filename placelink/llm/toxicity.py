@@ -9,19 +9,23 @@ decision equals one inner product of the token's subsequence features with a fix
 is how all tokens of whole texts are scored in numpy.
 
 Labels mark whole texts, not tokens: each labelled text is a bag of its sentences' tokens.
-Training starts from the tokens whose character n-grams stand out in toxic texts, and then
-alternates between fitting and taking each toxic text's strongest tokens as positive and each
-clean text's strongest as negative. A text's score is the logistic of its strongest token's
+Training starts from the tokens whose character n-grams stand out in toxic texts (if none does
+surely, from those whose tokens' own rates do best), and then alternates between fitting and taking
+each toxic text's strongest tokens as positive and each clean text's strongest as negative. Only a
+token whose rate in toxic texts is over ``LEAN`` times that in clean ones can be positive, and none
+such is negative: a clean text that quotes an insult or is labelled wrongly takes nothing away. A text's score is the logistic of its strongest token's
 decision, calibrated on the training texts. Fitting takes ``train_rows`` labelled rows of each
 class at most; every text is scored whole.
 
 Defined cases: null and empty texts score as texts without a toxic token; a null label or a label
 without a document is not learned; several labels of one document count each; without a label of
-each class every score is 0; an empty table gives an empty result.
+each class every score is 0, and so they are, with a warning, if the texts of a class have no token
+to learn from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 
@@ -36,6 +40,8 @@ from .vectext import LOWER, prefix_hash, span_hash, utf8, word_spans
 TRAIN_ROWS, LANDMARKS, DECAY, WIDTH, STEP, SPAN = 1500, 320, 0.6, 24, 12, 6
 #: Standard errors by which an n-gram's share of toxic texts must exceed that of clean ones.
 SURE = 3.5
+#: Times that a positive token's rate in toxic texts must exceed that in clean ones; tokens to start from if none is sure.
+LEAN, FEW = 3.0, 20
 CLASSES = 64
 _class = np.full(256, -1, np.int32)
 _class[97:123] = np.arange(26)
@@ -274,6 +280,12 @@ def variants(token: bytes, rng) -> list[bytes]:
     return [token[:i] + bytes([97 + int(rng.integers(26))]) + token[i:], token[:j] + token[j - 1 : j] + token[j:], token[:k] + b"*" + token[k:], b".".join(token[n : n + 1] for n in range(len(token)))[:WIDTH]]
 
 
+def errors_above(a, c, n1: int, n0: int) -> np.ndarray:
+    """Standard errors by which the share a of n1 toxic texts exceeds the share c of n0 clean ones."""
+    p = (a + c + 1) / (n1 + n0 + 2)
+    return ((a - 0.5) / n1 - (c + 0.5) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
 def train(bags: list[list[bytes]], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 11, share: float = 0.5) -> Model:
     """A model from bags of tokens (three bytes or more) and their 0 / 1 labels; ``share`` is that
     of label 1 among all labels."""
@@ -297,27 +309,37 @@ def train(bags: list[list[bytes]], toxic: list[int], landmarks: int = LANDMARKS,
 
     known = list(df[0] | df[1])
     a, c = (np.array([df[v][g] for g in known], float) for v in (1, 0))
-    p = (a + c + 1) / (n1 + n0 + 2)
-    stand_out = dict(zip(known, (((a - 0.5) / n1 - (c + 0.5) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))).tolist()))
+    stand_out = dict(zip(known, errors_above(a, c, n1, n0).tolist()))
     start = np.array([max([stand_out[g] for g in x]) for x in grams])
     clean = np.unique(np.concatenate([b for b, v in zip(idx, y) if v == 0 and len(b)] or [np.zeros(0, np.int64)]))
-    in_clean = np.zeros(len(names), bool)
-    in_clean[clean] = True
-    held = np.bincount(np.concatenate(idx), minlength=len(names))
+    held1, held0 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(b for b, v in zip(idx, y) if v == k)]), minlength=len(names)) for k in (1, 0))
+    held, toxic_tokens = held1 + held0, np.flatnonzero(held1)
+    if not len(toxic_tokens) or not len(clean):
+        warnings.warn("the texts of a class have no tokens: every score is 0", stacklevel=2)
+        return Model()
+    lean = held1 * n0 > LEAN * held0 * n1
+    own = errors_above(held1, held0, n1, n0)
     value, best, model = start.copy(), None, Model()
     positive: set[int] = set()
-    negative = set(rng.choice(clean, min(len(clean), 1500), replace=False).tolist()) if len(clean) else set()
+    plain = clean[~lean[clean]]
+    negative = set(rng.choice(plain, min(len(plain), 1500), replace=False).tolist())
     for r in range(rounds):
         for b, v in zip(idx, y):
             if not len(b):
                 continue
-            top = b[np.argsort(-value[b])[:2]]
+            some = b[lean[b]] if v else b[~lean[b]]
+            top = some[np.argsort(-value[some])[:2]]
             if v == 0:
                 negative.update(top.tolist())
             else:
-                positive.update(int(i) for i in top if not in_clean[i] and value[i] > (SURE if r == 0 else 0.5))
-        positive -= negative
-        if not positive or not negative:
+                positive.update(int(i) for i in top if value[i] > (SURE if r == 0 else 0.5))
+        if not positive:  # none is sure: the best ranked
+            some = toxic_tokens[lean[toxic_tokens]] if lean.any() else toxic_tokens
+            some = some[np.lexsort((some, -own[some]))][:FEW]
+            positive = set(some[own[some] >= min(own[some[0]], own[some[0]] / 2)].tolist())
+        negative = (negative or set(clean.tolist())) - positive
+        if not negative:
+            warnings.warn("no token tells clean texts from toxic ones: every score is 0", stacklevel=2)
             return Model()
         pos, neg = sorted(positive), sorted(negative)
         pos = sorted(pos, key=lambda i: (-held[i], i))[:600]

@@ -56,6 +56,21 @@ def test_toxicity_learns_and_tolerates_gaps():
     assert scores[0] > 0.5 > scores[1] and (scores[[2, 3, 4, 5, 8]] > 0.5).all() and (scores[[6, 7]] < 0.5).all()
 
 
+def test_toxicity_outlasts_wrong_labels_and_few_texts():
+    bags, labels = toxic_bags(300)
+    for i, insult in enumerate((b"grobmund", b"wretchface", b"quibzak")):  # clean-labelled texts that hold an insult
+        for j in (1, 2, 3, 4):
+            bags[30 * j + 3 * i + 1] = sorted({*bags[30 * j + 3 * i + 1], insult})
+    insults = pa.array(["linred a grobmund", "wretchface", "quibzak"])
+    assert (toxicity.train(bags, labels, share=0.33).scores(insults) > 0.5).all()
+    few = [[b"grobmund", b"linred"], [b"grobmund", b"tinrel"], [b"linred", b"dast"], [b"tinrel", b"dast"]]  # no 4-gram is sure
+    model = toxicity.train(few, [1, 1, 0, 0])
+    scores = model.scores(pa.array(["a grobmund", "linred dast"]))
+    assert model.known and scores[0] > scores[1]
+    with pytest.warns(UserWarning, match="no tokens"):
+        assert not toxicity.train([[], [b"abc"]], [1, 0]).known
+
+
 def test_norms_and_kernel():
     b, s, e = toxicity.packed([b"banana", b"bandana", b"x1y2z3"])
     table = toxicity.Landmarks([b"banana", b"bandana"])
