@@ -19,6 +19,10 @@ distributed:
    a group is large), takes each set as a query and its candidates as the local index: DivideSkip
    merges the short lists, keeps candidates within reach of T, and probes the long lists by
    binary search in the candidates' sorted sets. T and the counts are exact integers.
+5. Links are within components, so the number of links of each set is counted afterwards over all
+   pairs of sets of a component, by inverted lists in blocks of ``COUNT_SHINGLES``. Counts leave
+   a task, not pairs. ``n_links`` of a document is the number of sets other than its own that are
+   linked to its set; rows with an equal set are one node and no link.
 
 Hashes of shingles have 64 bits. Defined cases: null, empty and wordless texts have an empty set and
 no link; shorter texts are one shingle; repeated rows share a component; a null doc_id never names
@@ -43,6 +47,8 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 STAR_ROUNDS, PAIRS_PER_ENTRY = 5, 4.0
 #: Shingles of the sets in one block of a group.
 BLOCK_SHINGLES = 1 << 19
+#: Shingles of the sets in one block of a component, in counting links.
+COUNT_SHINGLES = 1 << 16
 _NULL = -(2**63)
 
 
@@ -229,6 +235,56 @@ def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int)
     return shared.stored(rows.groupBy("root", "b1", "b2").applyInArrow(_verify(percent), "u long, v long"), "links")
 
 
+def link_counts(sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
+    """The number of sets linked to each: all pairs where no set is ``left`` or each is, or else the
+    pairs of a left set with another."""
+    sizes = np.array([len(s) for s in sets])
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    out, mark, split = np.zeros(len(sets), np.int64), np.zeros(len(names), bool), left.any() and not left.all()
+    others = np.flatnonzero(~left) if split else np.arange(len(sets))
+    from_ = starts[others[0]] if len(others) else 0  # the left sets come first
+    for i in range(len(sets)):
+        if split and not left[i]:
+            break
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        got = np.add.reduceat(mark[ids[from_:]].astype(np.int32), starts[others] - from_)
+        mark[own] = False
+        ok = got >= needed(sizes[i], sizes[others], percent)
+        if split:
+            out[others] += ok
+        else:
+            ok[i] = False
+        out[i] += ok.sum()
+    return out
+
+
+def _count(percent: int):
+    def run(key, table):
+        b1, b2 = (k.as_py() for k in key[1:])
+        left = table.column("block").to_numpy() == b1
+        order = np.argsort(~left, kind="stable")
+        fp, shingles_ = table.column("fp").to_numpy()[order], table.column("shingles").take(pa.array(order))
+        if b1 != b2 and (left.all() or not left.any()):
+            return pa.table({"fp": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        return pa.table({"fp": pa.array(fp), "c": pa.array(link_counts([np.frombuffer(x.as_py(), np.uint64) for x in shingles_], left[order], percent))})
+
+    return run
+
+
+def counted(roots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """fp, n_links of the sets that are linked to others. ``roots``: node, root; written."""
+    nodes = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().join(sizes.select(F.col("fp").alias("node"), "n").hint("merge"), "node")
+    nodes = shared.stored(nodes, "linked-nodes")
+    blocks = shared.stored(nodes.groupBy("root").agg(F.ceil(F.sum("n") / COUNT_SHINGLES).alias("blocks")), "count-blocks")
+    places = nodes.join(blocks.hint("merge"), "root").select(F.col("node").alias("fp"), "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks")
+    places = shared.stored(places.select("fp", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")), "count-places")
+    rows = places.select("root", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "fp").join(sets.hint("merge"), "fp")
+    counts = rows.groupBy("root", "b1", "b2").applyInArrow(_count(percent), "fp long, c long")
+    return shared.stored(counts.groupBy("fp").agg(F.sum("c").alias("n_links")), "link-counts")
+
+
 def least_overlap_of(n, percent: int):
     return F.floor((n * percent + 99) / 100)
 
@@ -241,8 +297,9 @@ def _similar_sizes(a, b, percent: int):
     return (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
 
 
-def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures (doc_id, n, fp) of all rows, and root by node for nodes with links."""
+def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures (doc_id, n, fp) of all rows, root by node for nodes with links, and the sets and
+    sizes of all nodes that can have some."""
     spark = docs.sparkSession
     shared.prepare(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
@@ -305,24 +362,29 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
             break
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    return signatures, roots
-
-
-def linked_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links)."""
-    signatures, roots = link_roots(docs, k, percent)
-    node = signatures.where("n > 0").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "fp").alias("comp"))
-    node = shared.stored(node, "members")
+    return signatures, roots, sets, enough
+
+
+def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and, if asked for, n_links
+    (other sets linked to the document's)."""
+    signatures, roots, sets, sizes = link_roots(docs, k, percent)
+    node = signatures.where("n > 0").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("comp"))
+    links = []
+    if count_links:
+        links = ["n_links"]
+        node = node.join(counted(roots, sets, sizes, percent).hint("merge"), "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    node = shared.stored(node.select("doc_id", "n", "comp", *links), "members")
     least = shared.stored(node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    out = node.join(least.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = node.join(least.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *links)
+    alone = signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in links])
     return out.union(alone)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that are the least doc_id of their component; rows with a
     null doc_id stay, of repeated doc_ids each row stays that holds it."""
-    parts = shared.stored(linked_components(docs, k, percent), "groups")
+    parts = shared.stored(linked_components(docs, k, percent, count_links=False), "groups")
     gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 

@@ -106,6 +106,26 @@ def test_join_chain_of_near_copies(spark, monkeypatch):
     assert ngram_join.one_of_each(df, 4, 85).columns == ["doc_id", "text"]
 
 
+@pytest.mark.parametrize("block", [1 << 16, 700])
+def test_join_counts_links(spark, monkeypatch, block):
+    """Every link within groups of near copies is counted, whatever the blocks; equal texts are one set."""
+    monkeypatch.setattr(ngram_join, "COUNT_SHINGLES", block)
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        for i in range(12):
+            words[(13 * i) % 200] = f"v{g}.{i}"
+            rows.append((len(rows), " ".join(words)))
+        rows.append((len(rows), rows[-1][1]))
+    rows += [(len(rows), "alone it stands here"), (len(rows) + 1, None)]
+    got = {r.doc_id: r.n_links for r in ngram_join.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    s = {i: shingle_set(t, 4) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: sum(near(a, b) for b in set(s.values()) if a and b and b != a) for i, a in s.items()}
+    assert got == want and max(want.values()) > 4
+
+
 def test_join_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (5, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.linked_components(df).collect())
