@@ -5,10 +5,11 @@ whose document frequency, counted over all documents, lies in a band; it is a bi
 size (128 KB) that the plan carries as a literal, so neither terms nor lexicon are ever joined or
 shuffled with the documents. A document keeps its terms in the band (all terms, if fewer than
 ``MIN_TERMS`` are), sorted, and hashes their part in each of ``SEEDS`` x ``LEVELS`` randomised
-subsets of the lexicon: for each seed a nested row of subsets that hold 1/2, 1/4, 1/8, ... of it.
+subsets of the lexicon: for each seed a nested row of subsets that hold 1/2, 1/4, 1/8, ... of it, down to rates at which a text
+with all codes has one term or none. A fingerprint ends at the last subset that isn't empty.
 
-The likeness of two fingerprints compares the subsets whose rate suits the number of terms, so
-that a few terms fall in each: subsets with equal hashes over subsets that are not empty in both.
+The likeness of two fingerprints compares the subsets whose rate suits the number of terms, at any
+number, so that one or two terms fall in the largest of them: subsets with equal hashes over subsets that are not empty in both.
 
 Defined cases: null text is empty; texts without terms have a fingerprint of their own kind and
 likeness 1 to each other; of rows with the same doc_id the one with the largest text is taken; a
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-CODE_BITS, SEEDS, LEVELS, MIN_TERMS = 20, 12, 10, 6
+CODE_BITS, SEEDS, MIN_TERMS = 20, 12, 6
+#: Rates compared for a number of terms; levels, so that a text with all codes has them too.
+COMPARED = 4
+LEVELS = CODE_BITS + COMPARED - 1
 #: Band of the document frequency as a share of all documents; two documents at least.
 BAND = (0.0003, 0.02)
 _NONE = -(2**63)
@@ -79,14 +83,15 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int]) -
     for n in texts:
         hashes[n] += [f"__h_{n}_{j}at{LEVELS}" for j in range(SEEDS)]
     df = df.withColumns(last)
-    return df.select(*extra, *[f"{n}_terms" for n in texts], *[F.array(*hashes[n]).alias(n) for n in texts])
+    df = df.select(*extra, *[f"{n}_terms" for n in texts], *[F.array(*hashes[n]).alias(n) for n in texts])
+    return df.select(*extra, *[f"{n}_terms" for n in texts], *[F.slice(n, F.lit(1), F.coalesce(F.array_max(F.transform(n, lambda h, i: F.when(h.isNotNull(), i + 1))), F.lit(0))).alias(n) for n in texts])
 
 
 def likeness(a: str, b: str) -> Column:
     """0 to 1 for the fingerprints in columns a and b, with ``<name>_terms`` beside them."""
     terms = (F.col(f"{a}_terms") + F.col(f"{b}_terms")) / 2
-    level = F.least(F.lit(LEVELS - 3), F.greatest(F.lit(1), F.floor(F.log2(F.greatest(terms, F.lit(1)))))).cast("int")
-    part = lambda c: F.slice(c, (level - 1) * SEEDS + 1, F.lit(4 * SEEDS))
+    level = F.greatest(F.lit(1), F.floor(F.log2(F.greatest(terms, F.lit(1))))).cast("int")
+    part = lambda c: F.slice(c, (level - 1) * SEEDS + 1, F.lit(COMPARED * SEEDS))
     both = F.zip_with(part(a), part(b), lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(F.coalesce(x == y, F.lit(False)).cast("int")))
     said = F.filter(both, lambda x: x.isNotNull())
     equal = F.aggregate(said, F.lit(0), lambda s, x: s + x)

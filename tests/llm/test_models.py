@@ -130,6 +130,21 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
 
 
+def test_fingerprints_of_long_texts(spark):
+    """Near copies are as alike at 5000 terms as at 80, and different texts are not."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 10**7)}"
+    rows = []
+    for terms in [80] * 8 + [5000] * 8:
+        text = [word() for _ in range(terms)]
+        rows.append((terms, " ".join(text), " ".join([*text[: 2 * terms // 3], *(word() for _ in range(terms // 3))]), " ".join(word() for _ in range(terms))))
+    every = [-1] * (1 << (fingerprints.CODE_BITS - 6))
+    df = spark.createDataFrame(rows, "terms int, a string, b string, c string")
+    out = fingerprints.with_fingerprints(df, {"own": "a", "near": "b", "far": "c"}, every)
+    got = out.groupBy("terms").agg(F.avg(fingerprints.likeness("own", "near")).alias("near"), F.avg(fingerprints.likeness("own", "far")).alias("far")).collect()
+    assert len(got) == 2 and all(r.near > 0.2 and r.far < 0.05 for r in got)
+
+
 def test_fingerprint_separates(spark):
     out = fingerprints.op10_imatch_fingerprints(spark, SF)
     r = out.agg(F.avg("near_edited").alias("a"), F.avg("near_next").alias("b"), F.avg((F.col("near_edited") > F.col("near_next")).cast("int")).alias("c")).first()
