@@ -12,8 +12,10 @@ The likeness of two fingerprints compares the subsets whose rate suits the numbe
 number, so that one or two terms fall in the largest of them: subsets with equal hashes over subsets that are not empty in both.
 
 Defined cases: null text is empty; texts without terms have a fingerprint of their own kind and
-likeness 1 to each other; of rows with the same doc_id the one with the largest text is taken; a
-null doc_id sorts below all others; a single document is its own next; an empty table gives an
+likeness 1 to each other; every row is returned and counts in the lexicon, also where a doc_id
+repeats or is null: the next document of each of these rows is the next smaller doc_id's, of
+whose rows the one with the largest text stands for it; null doc_ids count as one and sort below
+all others; a single document is its own next; an empty table gives an
 empty result.
 """
 
@@ -123,23 +125,27 @@ def ordered_neighbours(ids: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """Per document: doc_id, text hashes and terms, the same for the edited text (its last third
+    """Per row: doc_id, text hashes and terms, the same for the edited text (its last third
     replaced by the start of the next document), and the likenesses."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = docs.select("key", F.length("text").alias("n"))
-    if not sizes.groupBy("key").count().where("count > 1").isEmpty():
-        docs = shared.stored(docs.groupBy("key").agg(F.max("text").alias("text")), "one-text")
-        sizes = docs.select("key", F.length("text").alias("n"))
+    one = docs.select("key", "text", F.length("text").alias("n"))  # what stands for each key
+    rows = docs.withColumn("top", F.lit(True))
+    repeated = not docs.groupBy("key").count().where("count > 1").isEmpty()
+    if repeated:
+        one = shared.stored(docs.groupBy("key").agg(F.max("text").alias("text"), F.max(F.length("text")).alias("n")), "one-text")
+        tops = one.select("key", F.xxhash64("text").alias("top_hash"))
+        rows = docs.join(tops.hint("merge"), "key").select("key", "text", (F.xxhash64("text") == F.col("top_hash")).alias("top"))
     bitmap = lexicon(docs, band)
-    near = ordered_neighbours(sizes)
-    starts = docs.join(near.hint("merge"), "key").select(F.col("next_key"), F.col("key"), F.col("wanted"), F.col("text"))
+    near = ordered_neighbours(one.select("key", "n"))
+    starts = one.select("key", "text").join(near.hint("merge"), "key").select(F.col("next_key"), F.col("key"), F.col("wanted"), F.col("text"))
     back = near.select(F.col("next_key").alias("key"), F.col("key").alias("before_key"))
     starts = starts.join(back.hint("merge"), "key").select(F.col("before_key").alias("key"), F.col("key").alias("next_key"), F.expr("left(text, int(wanted div 3))").alias("start"))
-    both = docs.join(starts.hint("merge"), "key").select("key", "next_key", "text", F.length("text").alias("n_chars"), F.expr("concat(left(text, length(text) - int(length(text) div 3)), start)").alias("edited"))
+    both = rows.join(starts.hint("merge"), "key").select("key", "next_key", "top", "text", F.length("text").alias("n_chars"), F.expr("concat(left(text, length(text) - int(length(text) div 3)), left(start, int(length(text) div 3)))").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     out = with_fingerprints(both, {"own": "text", "changed": "edited"}, bitmap).drop("text", "edited")
     out = shared.stored(out, "fingerprints")
-    other = out.select(F.col("key").alias("next_key"), F.col("own").alias("following"), F.col("own_terms").alias("following_terms"))
+    other = out.where("top").dropDuplicates(["key"]) if repeated else out
+    other = other.select(F.col("key").alias("next_key"), F.col("own").alias("following"), F.col("own_terms").alias("following_terms"))
     out = out.join(other.hint("merge"), "next_key")
     return out.select(
         F.when(F.col("key") != _NONE, F.col("key")).alias("doc_id"),

@@ -130,6 +130,17 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
 
 
+def test_fingerprints_keep_every_row(spark):
+    import hashlib
+
+    rows = [(7, "b " * 9), (7, "a long text of seven words here"), (5, "the next one of all of them"), (None, "nobody's words"), (None, "others"), (None, None)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    after = {7: rows[2][1], 5: "others", None: rows[0][1]}  # the largest text of the next doc_id
+    edited = lambda i, t: hashlib.sha256((t[: len(t) - len(t) // 3] + after[i][: len(t) // 3]).encode()).hexdigest()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted((str(i), len(t or ""), edited(i, t or "")) for i, t in rows)
+    assert len({r.fingerprint for r in got}) == len(rows)
+
+
 def test_fingerprints_of_long_texts(spark):
     """Near copies are as alike at 5000 terms as at 80, and different texts are not."""
     rng = random.Random(9)
