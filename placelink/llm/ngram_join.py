@@ -382,11 +382,22 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, count_link
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the least doc_id of their component; rows with a
-    null doc_id stay, of repeated doc_ids each row stays that holds it."""
-    parts = shared.stored(linked_components(docs, k, percent, count_links=False), "groups")
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The rows of ``docs``, all columns: of each component one row, of its least doc_id (null only
+    if it has no other), and every row with an empty set."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        parts = shared.stored(linked_components(docs, k, percent, count_links=False), "groups")
+        gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    # repeated or null doc_ids: decide by the row's set
+    signatures, roots, *_ = link_roots(docs, k, percent)
+    node = signatures.where("n > 0").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("comp"))
+    node = shared.stored(node, "members")
+    least = node.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    stay = node.join(least.hint("merge"), "comp").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("comp").alias("__comp")).distinct()
+    stay = shared.stored(stay, "staying")
+    own = docs.withColumn("__own", F.pandas_udf(lambda texts: texts.map(lambda t: fingerprint(shingles(pa.array([t], pa.string()), k)[0])).astype("int64"), "long")(F.coalesce("text", F.lit(""))))
+    kept = own.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))).dropDuplicates(["__comp"])
+    return kept.select(*docs.columns).union(own.where("__own = 0").select(*docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

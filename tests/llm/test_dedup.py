@@ -106,6 +106,13 @@ def test_join_chain_of_near_copies(spark, monkeypatch):
     assert ngram_join.one_of_each(df, 4, 85).columns == ["doc_id", "text"]
 
 
+def test_one_of_each_by_row(spark):
+    near = "these words stand here in two rows"
+    rows = [(1, near), (2, near), (2, "another text that no row has"), (None, near), (None, "a text of rows without an id"), (None, "a text of rows without an id"), (4, "twice the same id and text"), (4, "twice the same id and text"), (5, None), (5, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], rows[8], rows[9]]))
+
+
 @pytest.mark.parametrize("block", [1 << 16, 700])
 def test_join_counts_links(spark, monkeypatch, block):
     """Every link within groups of near copies is counted, whatever the blocks; equal texts are one set."""
