@@ -11,6 +11,7 @@ more keys are only suspected, and exact confirmation follows anyway.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 
 import numpy as np
@@ -114,20 +115,21 @@ def merged_twice(parts: DataFrame, bits: int) -> Filter:
 
 
 def share(spark, found: Filter):
-    """The filter as a broadcast variable; ``opened`` gives it back in a task."""
-    return spark.sparkContext.broadcast((found.bits, zlib.compress(found.data.tobytes(), 1)))
+    """The filter as a broadcast variable under a name of its own; ``opened`` gives it back in a task."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, found.bits, zlib.compress(found.data.tobytes(), 1)))
 
 
-_opened: dict[int, Filter] = {}
+_opened: dict[str, Filter] = {}
 
 
 def opened(shared_filter) -> Filter:
-    key = shared_filter._jbroadcast.id() if getattr(shared_filter, "_jbroadcast", None) else id(shared_filter)
-    if key not in _opened:
+    """The broadcast filter, decoded once in each worker. Python workers outlive a query, so the
+    decoded filter is kept by its name, never by an object's identity."""
+    name, bits, data = shared_filter.value
+    if name not in _opened:
         _opened.clear()
-        bits, data = shared_filter.value
-        _opened[key] = Filter(bits, np.frombuffer(zlib.decompress(data), np.uint8))
-    return _opened[key]
+        _opened[name] = Filter(bits, np.frombuffer(zlib.decompress(data), np.uint8))
+    return _opened[name]
 
 
 __all__ = ["Filter", "Pair", "SCHEMA", "filter_bits", "merged_twice", "opened", "share", "shared"]
