@@ -13,16 +13,14 @@ def _state(edges: DataFrame):
     return r.n, r.s
 
 
-def components(edges: DataFrame, rows: int | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges`` (u, v: long) but the roots themselves; the root
     is the least node of its component. Neighbours of a node are never gathered: each step takes a
     minimum, which combines before its shuffle, and joins it back, which Spark can split. ``rows``:
-    the number of edges, if known."""
+    the number of edges, if known. Rounds go on until nothing changes."""
     now = shared.stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", rows)
     state = _state(now)
-    for _ in range(rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = shared.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star", 2 * state[0])
         large = shared.stored(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-edges", 2 * state[0])

@@ -8,21 +8,20 @@ distributed:
 1. One pass gives each set's size and fingerprint and a count sketch of all shingles of all
    documents. The sketch (2**20 counters, whatever the input) only fixes a global order, rare
    shingles first; any order is correct.
-2. With L = T - s lists probed as long ones, a partner must stand in s of the n - T + s short
+2. With T - s lists left aside as long ones, a partner must stand in s of the n - T + s short
    lists, those of the node's rarest shingles. Short lists are merged by a shuffle on the shingle;
-   lists of one node go, then nodes with fewer than s lists; the others' whole sets are stored.
-3. Not all pairs of a list are emitted: each node first meets the pivot of most of its lists,
-   verified pairs become components, and lists within one component are done. Rounds with new
-   pivots go on while the pairs across components are many; then all pairs across components
-   that share s lists are verified, none dropped.
-4. Verification sends each set once to the task of its group of candidates (two tasks and more where
-   a group is large), takes each set as a query and its candidates as the local index: DivideSkip
-   merges the short lists, keeps candidates within reach of T, and probes the long lists by
-   binary search in the candidates' sorted sets. T and the counts are exact integers.
-5. Links are within components, so the number of links of each set is counted afterwards over all
-   pairs of sets of a component, by inverted lists in blocks of ``COUNT_SHINGLES``. Counts leave
-   a task, not pairs. ``n_links`` of a document is the number of sets other than its own that are
-   linked to its set; rows with an equal set are one node and no link.
+   lists of one node go, then nodes with fewer than s lists, which are nearly all that have no near
+   copy.
+3. What may be linked hangs together by short lists (``candidate_groups``): these groups are the
+   connected components of a graph with at most ``PAIRED`` - 1 edges for each list entry.
+4. The whole sets of a group, each once, go to one task, or where a group is large to a task for every two
+   blocks of it. There each set is a query to the inverted lists of the others: DivideSkip merges
+   the short lists and probes the long ones for what they leave in reach of T. T and the counts
+   are exact integers. A task gives counts of links and the components of its links, no pairs.
+5. Only components found by several tasks of a large group are joined by rounds over all tasks.
+
+``n_links`` of a document is the number of sets other than its own that are linked to its set; rows
+with an equal set are one node and no link.
 
 Hashes of shingles have 64 bits. Defined cases: null, empty and wordless texts have an empty set and
 no link; shorter texts are one shingle; repeated rows share a component; a null doc_id never names
@@ -31,11 +30,12 @@ a component unless all its rows have one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps, shared
@@ -43,12 +43,16 @@ from .components import components
 from .vectext import U, mix, shingles
 
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
-#: Star rounds at most, and the pairs across components for each list entry up to which all are emitted.
-STAR_ROUNDS, PAIRS_PER_ENTRY = 5, 4.0
-#: Shingles of the sets in one block of a group.
-BLOCK_SHINGLES = 1 << 19
-#: Shingles of the sets in one block of a component, in counting links.
-COUNT_SHINGLES = 1 << 16
+#: Text in one step of a task: its arrays take some hundred bytes for a byte.
+STEP_BYTES = 1 << 20
+#: Nodes of a list whose pairs are counted one by one.
+PAIRED = 8
+#: Sets in one block of a group, up to so many blocks; then blocks grow, up to so many shingles.
+BLOCK_SETS, BLOCKS, BLOCK_MOST = 80, 24, 1 << 18
+#: Entries of short lists that are merged by a heap, and long lists probed in one step.
+HEAP_MOST, PROBES = 1 << 12, 32
+#: Sets that a task remembers so as to send them once; it starts anew beyond.
+REMEMBERED = 1 << 16
 _NULL = -(2**63)
 
 
@@ -64,7 +68,7 @@ def _signatures(k: int):
     def run(it):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         names = ["doc_id", "n", "fp", "chunk", "counts"]
-        for rb in shared.batches(it, ["doc_id", "text"]):
+        for rb in shared.batches(it, ["doc_id", "text"], STEP_BYTES):
             sets = shingles(rb.column(1), k)
             h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -96,8 +100,8 @@ def sketch_levels(parts: DataFrame) -> np.ndarray:
 
 def occurrences(n, percent: int):
     """Short lists that two sets must share when each gives n - T + occurrences(n) of them; for
-    the smaller of both."""
-    return 1 + n // 24
+    the smaller of both. The more, the fewer sets with a common passage are candidates."""
+    return 1 + n // 6
 
 
 def least_overlap(n, percent: int):
@@ -113,9 +117,11 @@ def short_lists(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets_once(it, k: int):
-    """Sets, with fingerprints, that this task has not had yet."""
+    """Sets, with fingerprints; those that this task has had lately only once."""
     had: set[tuple[int, int]] = set()
-    for rb in shared.batches(it, ["doc_id", "text"]):
+    for rb in shared.batches(it, ["doc_id", "text"], STEP_BYTES):
+        if len(had) > REMEMBERED:
+            had.clear()
         for s in shingles(rb.column(1), k):
             key = (fingerprint(s), len(s))
             if len(s) and key not in had:
@@ -180,109 +186,137 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def divide_skip(query: np.ndarray, members: list[np.ndarray], percent: int, mu: float = 0.0085) -> np.ndarray:
-    """Which members (sorted sets) reach the overlap with the query that the threshold needs."""
-    need = needed(len(query), np.array([len(m) for m in members]), percent)
-    every = np.concatenate(members)
-    who = np.repeat(np.arange(len(members)), [len(m) for m in members])
-    at = np.minimum(np.searchsorted(query, every), len(query) - 1)
-    hit = query[at] == every
-    at, who = at[hit], who[hit]
-    lengths = np.bincount(at, minlength=len(query))
-    longest = max(2, int(lengths.max()) if len(lengths) else 2)
-    n_long = max(0, min(int(need.min()) - 1, int(need.min() / (mu * np.log(longest) + 1))))
-    is_long = np.zeros(len(query), bool)
-    is_long[np.argsort(-lengths, kind="stable")[:n_long]] = True
-    got = np.bincount(who[~is_long[at]], minlength=len(members))
-    probes = query[is_long]
-    for i in np.flatnonzero(got >= need - n_long):
-        m = members[i]
-        spot = np.minimum(np.searchsorted(m, probes), len(m) - 1)
-        got[i] += (m[spot] == probes).sum()
-    return got >= need
-
-
-def _verify(percent: int):
-    def run(_, table):
-        fp, partners = table.column("fp").to_pylist(), table.column("partners").to_pylist()
-        sets = {f: np.frombuffer(x.as_py(), np.uint64) for f, x in zip(fp, table.column("shingles"))}
-        u, v = [], []
-        for f, others in zip(fp, partners):
-            if others:
-                ok = divide_skip(sets[f], [sets[o] for o in others], percent)
-                v += [o for o, k in zip(others, ok) if k]
-                u += [f] * int(ok.sum())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return run
-
-
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (u, v) among ``pairs`` (written; distinct); written. Pairs that hang together
-    form a group, whose sets go to one task once: the local index that its queries search. A group
-    with more than ``BLOCK_SHINGLES`` is split in blocks, with a task for two blocks each."""
-    n_pairs = pairs.count()
-    roots = components(pairs, n_pairs)
-    roots = shared.stored(roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().join(sizes.select(F.col("fp").alias("node"), "n").hint("merge"), "node"), "pair-groups", n_pairs)
-    blocks = roots.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    roots = roots.join(shared.stored(blocks, "pair-blocks", n_pairs).hint("merge"), "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    roots = shared.stored(roots, "pair-places", n_pairs)
-    placed = pairs.join(roots.toDF("u", "root", "bu").hint("merge"), "u").join(roots.toDF("v", "root_v", "bv").hint("merge"), "v")
-    placed = placed.select("u", "v", "root", F.least("bu", "bv").alias("b1"), F.greatest("bu", "bv").alias("b2"))
-    rows = placed.select("root", "b1", "b2", F.col("u").alias("fp"), F.col("v").alias("o")).union(placed.select("root", "b1", "b2", F.col("v").alias("fp"), F.lit(None).cast("long").alias("o")))
-    rows = shared.stored(rows.groupBy("root", "b1", "b2", "fp").agg(F.collect_list("o").alias("partners")), "pair-rows", 2 * n_pairs)
-    rows = rows.join(sets.hint("merge"), "fp")
-    return shared.stored(rows.groupBy("root", "b1", "b2").applyInArrow(_verify(percent), "u long, v long"), "links")
-
-
-def link_counts(sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
-    """The number of sets linked to each: all pairs where no set is ``left`` or each is, or else the
-    pairs of a left set with another."""
-    sizes = np.array([len(s) for s in sets])
-    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    out, mark, split = np.zeros(len(sets), np.int64), np.zeros(len(names), bool), left.any() and not left.all()
-    others = np.flatnonzero(~left) if split else np.arange(len(sets))
-    from_ = starts[others[0]] if len(others) else 0  # the left sets come first
-    for i in range(len(sets)):
-        if split and not left[i]:
-            break
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        mark[own] = True
-        got = np.add.reduceat(mark[ids[from_:]].astype(np.int32), starts[others] - from_)
-        mark[own] = False
-        ok = got >= needed(sizes[i], sizes[others], percent)
-        if split:
-            out[others] += ok
-        else:
-            ok[i] = False
-        out[i] += ok.sum()
-    return out
-
-
-def _count(percent: int):
+class InvertedLists:
+    """Inverted lists over sets (sorted arrays), which stand in order of size: for each shingle the
+    ascending places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n, self.sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")  # equal shingles keep the order of the sets
+        self.names, first, length = np.unique(every[order], return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(self.names)), length)
+        self.postings = np.repeat(np.arange(self.n), self.sizes)[order]
+        self.entries = at * self.n + self.postings  # ascending, so a list can be cut or probed by binary search
+
+    def search(self, query: np.ndarray, percent: int, after: int = -1, mu: float = 0.0085) -> np.ndarray:
+        """Places after ``after`` of the sets whose overlap with the query reaches T. DivideSkip: the
+        lists of the query's shingles, cut to partners of possible size, are divided in long and short
+        ones; short lists are merged, and what they leave in reach of T is looked up in the long lists
+        by binary search."""
+        n = len(query)
+        lo = max(after + 1, int(np.searchsorted(self.sizes, -(-percent * n // 100))))
+        hi = int(np.searchsorted(self.sizes, 100 * n // percent, side="right"))
+        none = np.zeros(0, np.int64)
+        if lo >= hi:
+            return none
+        at = np.minimum(np.searchsorted(self.names, query), len(self.names) - 1)
+        at = at[self.names[at] == query]
+        start, end = np.searchsorted(self.entries, at * self.n + lo), np.searchsorted(self.entries, at * self.n + hi)
+        length = end - start
+        some = np.flatnonzero(length)
+        least = int(needed(n, self.sizes[lo], percent))
+        if len(some) < least:
+            return none
+        some = some[np.argsort(length[some], kind="stable")]
+        n_long = min(least - 1, int(least / (mu * np.log(max(2, int(length[some[-1]]))) + 1)))
+        short, long = some[: len(some) - n_long], some[len(some) - n_long :]
+        found, count = merged([self.postings[start[i] : end[i]] for i in short])
+        need = needed(n, self.sizes[found], percent)
+        reach = count + n_long >= need
+        found, count, need = found[reach], count[reach], need[reach]
+        for i in range(0, len(long), PROBES):  # the longest last; who falls out of reach is not looked up again
+            if not len(found):
+                break
+            keys = at[long[i : i + PROBES], None] * self.n + found
+            spot = np.minimum(np.searchsorted(self.entries, keys), len(self.entries) - 1)
+            count = count + (self.entries[spot] == keys).sum(0)
+            reach = count + max(0, len(long) - i - PROBES) >= need
+            found, count, need = found[reach], count[reach], need[reach]
+        return found
+
+
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending members of ascending lists, and in how many lists each stands: by a heap, or where
+    they hold much by a sort that merges the lists as runs."""
+    total = sum(map(len, lists))
+    if total <= HEAP_MOST:
+        each = np.fromiter(heapq.merge(*(x.tolist() for x in lists)), np.int64, total)
+    else:
+        each = np.sort(np.concatenate(lists), kind="stable")
+    if not total:
+        return each, each
+    first = np.flatnonzero(np.append(True, each[1:] != each[:-1]))
+    return each[first], np.diff(np.append(first, total))
+
+
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each set of ``left`` (and then of ``right``), and the least place of its component:
+    all pairs of ``left``, or all of a left and a right set."""
+    sets = [*left, *(right or [])]
+    links, root = np.zeros(len(sets), np.int64), np.arange(len(sets))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    places = np.arange(len(sets)) if right is None else np.arange(len(left), len(sets))
+    if not len(left) or not len(places):
+        return links, root
+    places = places[np.argsort([len(sets[i]) for i in places], kind="stable")]
+    lists = InvertedLists([sets[i] for i in places])
+    for turn, i in enumerate(places.tolist() if right is None else range(len(left))):
+        found = places[lists.search(sets[i], percent, turn if right is None else -1)]
+        links[i] += len(found)
+        links[found] += 1
+        for j in found.tolist():
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return links, np.array([top(i) for i in range(len(sets))], np.int64)
+
+
+def _link(percent: int):
     def run(key, table):
         b1, b2 = (k.as_py() for k in key[1:])
-        left = table.column("block").to_numpy() == b1
-        order = np.argsort(~left, kind="stable")
-        fp, shingles_ = table.column("fp").to_numpy()[order], table.column("shingles").take(pa.array(order))
-        if b1 != b2 and (left.all() or not left.any()):
-            return pa.table({"fp": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-        return pa.table({"fp": pa.array(fp), "c": pa.array(link_counts([np.frombuffer(x.as_py(), np.uint64) for x in shingles_], left[order], percent))})
+        # in order of the fingerprint, so that a component's least place is its least node
+        table = table.sort_by("fp")
+        block, fp = table.column("block").to_numpy(), table.column("fp").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        if b1 == b2:
+            order, split = np.arange(len(fp)), None
+        else:
+            order = np.argsort(block != b1, kind="stable")
+            split = int((block == b1).sum())
+        fp, sets = fp[order], [sets[i] for i in order]
+        links, root = linked_sets(sets[:split], None if split is None else sets[split:], percent)
+        some = links > 0
+        return pa.table({"fp": fp[some], "links": links[some], "root": fp[root[some]], "blocks": table.column("blocks").to_numpy()[order][some]})
 
     return run
 
 
-def counted(roots: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """fp, n_links of the sets that are linked to others. ``roots``: node, root; written."""
-    nodes = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct().join(sizes.select(F.col("fp").alias("node"), "n").hint("merge"), "node")
-    nodes = shared.stored(nodes, "linked-nodes")
-    blocks = shared.stored(nodes.groupBy("root").agg(F.ceil(F.sum("n") / COUNT_SHINGLES).alias("blocks")), "count-blocks")
-    places = nodes.join(blocks.hint("merge"), "root").select(F.col("node").alias("fp"), "root", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "blocks")
-    places = shared.stored(places.select("fp", "root", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")), "count-places")
-    rows = places.select("root", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "fp").join(sets.hint("merge"), "fp")
-    counts = rows.groupBy("root", "b1", "b2").applyInArrow(_count(percent), "fp long, c long")
-    return shared.stored(counts.groupBy("fp").agg(F.sum("c").alias("n_links")), "link-counts")
+def candidate_groups(lists: DataFrame, percent: int) -> DataFrame:
+    """``node, root`` of the nodes (but the roots themselves) that hang together by candidate pairs.
+    ``lists``: key, fp, n, the shared short lists. Candidates share s of them, so the shortest that
+    they share is not among the s - 1 longest of either: without these, a list of more than ``PAIRED`` nodes
+    holds its nodes together as it is, and no pairs of it are made. All pairs of the other lists
+    are made, and count if their common lists and those of the longer kind can be s. So nodes that
+    share a passage or a few shingles by chance don't join groups."""
+    heads = shared.stored(lists.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "list-heads")
+    node = Window.partitionBy("fp")
+    least = occurrences_of(least_overlap_of(F.col("n"), percent), percent)
+    held = lists.join(heads.hint("merge"), "key").select("key", "fp", "n", "c", F.count("*").over(node).alias("all"), F.count_if(F.col("c") > PAIRED).over(node).alias("long"), F.row_number().over(node.orderBy(F.desc("c"), "key")).alias("place"))
+    held = shared.stored(held.where(F.col("all") >= least), "held-lists")
+    few = held.where(F.col("c") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fp", "n", "long"))).alias("l"))
+    pairs = few.select("l", F.posexplode("l").alias("i", "a")).select("a", F.explode(F.slice("l", F.col("i") + 2, PAIRED)).alias("b"))
+    pairs = pairs.where(F.lit(100) * F.least("a.n", "b.n") >= F.lit(percent) * F.greatest("a.n", "b.n"))
+    pairs = pairs.groupBy(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).agg(F.count("*").alias("common"), F.min(F.least("a.n", "b.n")).alias("n"), F.min(F.least("a.long", "b.long")).alias("long"))
+    pairs = pairs.where(F.col("common") + F.col("long") >= occurrences_of(F.col("n"), percent)).select("u", "v")
+    many = held.where((F.col("c") > PAIRED) & (F.col("place") >= least)).select("key", "fp")
+    low = shared.stored(many.groupBy("key").agg(F.min("fp").alias("low")), "low-nodes")  # so that Spark can split the join at a long list
+    stars = many.join(low.hint("merge"), "key").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
+    return components(pairs.union(stars))
 
 
 def least_overlap_of(n, percent: int):
@@ -290,16 +324,11 @@ def least_overlap_of(n, percent: int):
 
 
 def occurrences_of(n, percent: int):
-    return 1 + F.floor(n / 24)
+    return 1 + F.floor(n / 6)
 
 
-def _similar_sizes(a, b, percent: int):
-    return (F.lit(100) * F.least(a, b)) >= F.lit(percent) * F.greatest(a, b)
-
-
-def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signatures (doc_id, n, fp) of all rows, root by node for nodes with links, and the sets and
-    sizes of all nodes that can have some."""
+def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures (doc_id, n, fp) of all rows; and fp, root and n_links of the nodes with links."""
     spark = docs.sparkSession
     shared.prepare(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc_id"), "text")
@@ -311,73 +340,49 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     held = entries.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
     lists = shared.stored(entries.join(held.hint("shuffle_hash"), "key").distinct(), "lists")
     shared.release(spark)
-    # nodes with enough shared lists, whatever the partner; then only those lists count
+    # nodes with enough shared lists, whatever the partner
     enough = lists.groupBy("fp").agg(F.count("*").alias("c")).join(nodes.hint("merge"), "fp")
-    enough = shared.stored(enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n", (F.col("c") / F.col("n")).alias("shared")), "open-nodes")
-    lists = lists.join(enough.hint("merge"), "fp")
-    held = lists.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
-    lists = shared.stored(lists.join(shared.stored(held, "shared-keys").hint("merge"), "key"), "lists")
-    bits = max(20, min(30, (24 * enough.count()).bit_length()))
-    found = bitmaps.share(spark, bitmaps.merged_twice(enough.select("fp").mapInArrow(_put_all(bits), bitmaps.SCHEMA), bits))
+    enough = enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n")
+    enough = shared.stored(enough, "open-nodes")
+    lists = shared.stored(lists.join(enough.hint("merge"), "fp"), "lists")
+    groups = candidate_groups(lists, percent)
+    groups = groups.union(groups.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp")
+    groups = shared.stored(groups.join(enough.hint("merge"), "fp"), "groups")
+    # a large group is cut in blocks, with a task for two blocks each
+    blocks = F.greatest(F.least(F.ceil(F.count("*") / BLOCK_SETS), F.lit(BLOCKS)), F.ceil(F.sum("n") / BLOCK_MOST))
+    blocks = shared.stored(groups.groupBy("root").agg(blocks.alias("blocks")), "group-blocks")
+    places = groups.join(blocks.hint("merge"), "root").select("fp", "root", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
+    places = shared.stored(places, "places")
+    bits = max(20, min(30, (24 * places.count()).bit_length()))
+    found = bitmaps.share(spark, bitmaps.merged_twice(places.select("fp").mapInArrow(_put_all(bits), bitmaps.SCHEMA), bits))
     sets = docs.mapInArrow(_sets(found, k), "fp long, shingles binary").groupBy("fp").agg(F.max("shingles").alias("shingles"))
-    sets = shared.stored(sets.join(enough.select("fp").hint("merge"), "fp", "left_semi"), "sets")
+    rows = sets.join(places.hint("merge"), "fp").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "blocks", "fp", "shingles")
+    links = rows.groupBy("root", "b1", "b2").applyInArrow(_link(percent), "fp long, links long, root long, blocks long")
+    links = shared.stored(links, "links")
     shared.release(spark)
-    n_entries = lists.count()
-    links = roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        if not n_entries:
-            break
-        if roots is None:
-            entries = lists.withColumn("comp", F.col("fp"))
-        else:
-            entries = lists.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-            entries = shared.stored(entries, "entries", n_entries)
-        by_comp = entries.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        cross = shared.stored(by_comp.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0"), "cross", n_entries)
-        many = cross.agg(F.sum("pairs")).first()[0] or 0
-        if not many:
-            break
-        entries = shared.stored(entries.join(cross.select("key").hint("merge"), "key"), "open-entries", n_entries)
-        last = turn > 0 and (many <= PAIRS_PER_ENTRY * n_entries + 1e5 or turn == STAR_ROUNDS)
-        if last:
-            other = entries.select("key", F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))
-            pairs = entries.hint("merge").join(other.hint("merge"), "key").where((F.col("fp") < F.col("v")) & (F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
-            common = pairs.groupBy("fp", "v").agg(F.count("*").alias("common"), F.min(F.least("n", "v_n")).alias("least"))
-            pairs = common.where(F.col("common") >= occurrences_of(F.col("least"), percent)).select(F.col("fp").alias("u"), "v")
-        else:
-            # first the node whose shingles are shared most, as an original's among its edited copies; then others
-            seed = F.struct(F.when(F.lit(turn < 2), -F.col("shared")).otherwise(0.0), F.xxhash64("fp", F.lit(turn)))
-            pivot = entries.groupBy("key").agg(F.min(F.struct(seed.alias("order"), F.col("fp").alias("v"), F.col("n").alias("v_n"), F.col("comp").alias("v_comp"))).alias("p"))
-            pivot = shared.stored(pivot.select("key", "p.*"), "pivots", n_entries)
-            pairs = entries.join(pivot.hint("merge"), "key").where((F.col("comp") != F.col("v_comp")) & _similar_sizes(F.col("n"), F.col("v_n"), percent))
-            # one pivot for each node: that of most lists
-            pairs = pairs.groupBy("fp", "v").agg(F.count("*").alias("c")).groupBy("fp").agg(F.max(F.struct("c", "v")).alias("p")).select(F.col("fp").alias("u"), "p.v")
-        pairs = shared.stored(pairs, "pairs")
-        new = verified(pairs, sets, enough, percent)
-        shared.release(spark)
-        links = new if links is None else links.union(new)
-        n_links = links.count()
-        roots = shared.stored(components(links, n_links), "roots", n_links)
-        if last:
-            break
-    if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    return signatures, roots, sets, enough
-
-
-def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and, if asked for, n_links
-    (other sets linked to the document's)."""
-    signatures, roots, sets, sizes = link_roots(docs, k, percent)
-    node = signatures.where("n > 0").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("comp"))
-    links = []
-    if count_links:
-        links = ["n_links"]
-        node = node.join(counted(roots, sets, sizes, percent).hint("merge"), "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    node = shared.stored(node.select("doc_id", "n", "comp", *links), "members")
+    counts = links.groupBy("fp").agg(F.sum("links").alias("n_links"))
+    # what hangs together was found in one task, or else by several
+    parts = components(links.where("blocks > 1").select(F.col("fp").alias("u"), F.col("root").alias("v")))
+    roots = links.where("blocks = 1").select("fp", "root").union(parts.select(F.col("node").alias("fp"), "root"))
+    out = counts.join(roots.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n_links")
+    return signatures, shared.stored(out, "linked-nodes")
+
+
+def _members(signatures: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n, fp, comp and n_links of the rows with a set that isn't empty; written."""
+    node = signatures.where("n > 0").join(roots.hint("merge"), "fp", "left")
+    return shared.stored(node.select("doc_id", "n", "fp", F.coalesce("root", "fp").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "members")
+
+
+def linked_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) and n_links (other sets
+    linked to the document's)."""
+    signatures, roots = link_roots(docs, k, percent)
+    node = _members(signatures, roots)
     least = shared.stored(node.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
-    out = node.join(least.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *links)
-    alone = signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in links])
+    out = node.join(least.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = signatures.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(alone)
 
 
@@ -385,13 +390,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns: of each component one row, of its least doc_id (null only
     if it has no other), and every row with an empty set."""
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        parts = shared.stored(linked_components(docs, k, percent, count_links=False), "groups")
+        parts = shared.stored(linked_components(docs, k, percent), "groups")
         gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
         return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
     # repeated or null doc_ids: decide by the row's set
-    signatures, roots, *_ = link_roots(docs, k, percent)
-    node = signatures.where("n > 0").join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("comp"))
-    node = shared.stored(node, "members")
+    node = _members(*link_roots(docs, k, percent))
     least = node.groupBy("comp").agg(F.min("doc_id").alias("least"))
     stay = node.join(least.hint("merge"), "comp").where(F.col("doc_id").eqNullSafe(F.col("least"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("comp").alias("__comp")).distinct()
     stay = shared.stored(stay, "staying")

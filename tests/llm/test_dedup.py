@@ -93,7 +93,7 @@ def test_join(spark, k, percent):
 
 def test_join_chain_of_near_copies(spark, monkeypatch):
     """A group in which neighbours are linked but the ends are not."""
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
     rng = random.Random(5)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
     rows = []
@@ -113,10 +113,10 @@ def test_one_of_each_by_row(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], rows[8], rows[9]]))
 
 
-@pytest.mark.parametrize("block", [1 << 16, 700])
+@pytest.mark.parametrize("block", [80, 4])
 def test_join_counts_links(spark, monkeypatch, block):
     """Every link within groups of near copies is counted, whatever the blocks; equal texts are one set."""
-    monkeypatch.setattr(ngram_join, "COUNT_SHINGLES", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     rng = random.Random(6)
     rows = []
     for g in range(3):
@@ -140,13 +140,37 @@ def test_join_empty_and_null_ids(spark):
     assert ngram_join.linked_components(df.limit(0)).count() == 0
 
 
-def test_divide_skip():
+@pytest.mark.parametrize("heap", [0, 1 << 12])
+def test_divide_skip(monkeypatch, heap):
+    monkeypatch.setattr(ngram_join, "HEAP_MOST", heap)
     rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
-    members = [np.unique(np.concatenate([base[rng.random(len(base)) < p], rng.integers(0, 2**63, 9).astype(np.uint64)])) for p in (1, 0.97, 0.95, 0.9, 0.85, 0.5, 0.1)]
-    got = ngram_join.divide_skip(base, members, 85)
-    want = [100 * len(np.intersect1d(base, m)) >= 85 * len(np.union1d(base, m)) for m in members]
-    assert got.tolist() == want
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < p], rng.integers(0, 2**63, 9).astype(np.uint64)])) for p in rng.choice([1, 0.98, 0.95, 0.9, 0.85, 0.5, 0.1], 60)]
+    sets += [base[:1], base[:2], base[:1]]
+    near = np.array([[100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    links, root = ngram_join.linked_sets(sets, None, 85)
+    assert links.tolist() == (near.sum(1) - 1).tolist() and links.max() > 3
+    want = np.arange(len(sets))
+    for _ in sets:
+        want = np.array([want[r].min() for r in near])
+    assert root.tolist() == want.tolist()
+    for a, b in ((sets, []), ([], sets), ([], None)):
+        assert not ngram_join.linked_sets(a, b, 85)[0].any()
+    links, _ = ngram_join.linked_sets(sets[:20], sets[20:], 85)
+    assert links.tolist() == [*near[:20, 20:].sum(1), *near[20:, :20].sum(1)]
+
+
+def test_components_of_a_long_path(spark):
+    """Far more steps than rounds: a path of 600 nodes in random order, and a star."""
+    from placelink.llm.components import components
+
+    rng = random.Random(4)
+    names = rng.sample(range(-(10**6), 10**6), 700)
+    edges = list(zip(names[:600], names[1:600])) + [(names[600], x) for x in names[601:]]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {x: min(part) for part in (names[:600], names[600:]) for x in part}
+    assert {x: got.get(x, x) for x in names} == want
 
 
 def repeated(rows, width):
