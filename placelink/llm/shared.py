@@ -1,7 +1,8 @@
 """Helpers shared by the document operators.
 
 Scratch tables go to the shared folder named in ``spark.checkpoint.dir`` (or, where that is
-unset, as in tests, to a folder of this process), never to a machine-local folder on a cluster.
+unset and the master is local, as in tests, to a folder of this process); elsewhere its absence is
+an error. ``discard`` deletes what a later table has taken up.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for scratch tables."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="placelink-"))
         found = f"file://{_own_dir[0]}"
@@ -47,7 +50,17 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // TASK_ROWS))))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of ``stored`` that nothing will read again, whatever store they are in."""
+    for t in tables:
+        jvm, jsc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

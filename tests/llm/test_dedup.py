@@ -189,8 +189,10 @@ def repeated(rows, width):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width,limit", [(200, 1 << 20), (40, 3000)])
-def test_substrings(spark, monkeypatch, width, limit):
+@pytest.mark.parametrize("width,limit,merged", [(200, 1 << 20, 8), (40, 3000, 8), (40, 1000, 2), (40, 500, 1)])
+def test_substrings(spark, monkeypatch, width, limit, merged):
+    """Whole keys in a shard, keys in several merged shards, keys cut by longer k-grams."""
+    monkeypatch.setattr(suffix_dedup, "MERGED", merged)
     monkeypatch.setattr(suffix_dedup, "KEY_BYTES", limit)
     got = suffix_dedup.dedup_substrings(data.frame(spark), width).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated([r[:2] for r in data.rows()], width)
@@ -214,9 +216,14 @@ def test_suffix_array():
 
 
 def test_merge_shards():
-    a, b = b"xxabcdefyy", b"zabcdefz"
-    sa = suffix_dedup.suffix_array(np.frombuffer(b, np.uint8))
-    assert suffix_dedup.merge_shards(a, b, sa, 5).tolist() == [2, 3]
+    rng = random.Random(3)
+    for width in (1, 5, 8, 13, 24):
+        a, b = (bytes(rng.choice(b"ab") for _ in range(n)) for n in (60, 80))
+        b += a[20:50]
+        sa = suffix_dedup.suffix_array(np.frombuffer(b, np.uint8))
+        starts = np.arange(len(a) - width + 1)
+        got = suffix_dedup.merge_shards(np.frombuffer(a, np.uint8), starts, np.frombuffer(b, np.uint8), sa[sa <= len(b) - width], width)
+        assert got.tolist() == [a[s : s + width] in b for s in starts]
 
 
 def test_sentences(spark):
@@ -258,3 +265,17 @@ def test_passages_over_50_words_hold_a_span():
         b = np.frombuffer("".join(texts).encode(), np.uint8)
         row, at, to, key = sentence_dedup.spans(b, np.array([0, len(texts[0]), len(b)]))
         assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_queries_by_turns_in_one_session(spark):
+    """Python workers outlive a query: a later one must not read an earlier one's filter."""
+    want_lines, want_bytes = lines([r[:2] for r in data.rows()]), repeated([r[:2] for r in data.rows()], 200)
+    want_join = linked([r[:2] for r in data.rows()], 4, 85)
+    for turn in range(6):
+        got = line_dedup.dedup_lines(data.frame(spark), keep_text=False).collect()
+        assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == want_lines
+        got = suffix_dedup.dedup_substrings(data.frame(spark), keep_text=False).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want_bytes
+        if turn % 3 == 0:
+            got = ngram_join.linked_components(data.frame(spark)).collect()
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want_join
