@@ -37,6 +37,8 @@ WIDTH, SHARD_BYTES, KEY_BYTES = 200, 2 << 20, 1 << 20
 MERGED = 8
 #: Regions that a task remembers so as to send their text once; it starts anew beyond.
 REMEMBERED = 1 << 16
+#: Text in one step of a task: its arrays take some hundred bytes for a byte, and should stay in the cache.
+STEP_BYTES = 1 << 18
 _NULL = -(2**63)
 
 
@@ -229,7 +231,7 @@ def merge_shards(text: np.ndarray, starts: np.ndarray, other: np.ndarray, other_
 def _keys(bits: int, width: int):
     def run(it):
         pair = bitmaps.Pair(bits)
-        for rb in shared.batches(it, None, 2 << 20):
+        for rb in shared.batches(it, None, STEP_BYTES):
             _, _, _, key, _, inner = regions(*utf8(rb.column(1)), grams(width)[0], width)
             pair.see(np.concatenate([key, key[inner]]))
         yield from pair.record_batches()
@@ -240,7 +242,7 @@ def _keys(bits: int, width: int):
 def _regions(found, width: int):
     def run(it):
         twice = bitmaps.opened(found)
-        for rb in shared.batches(it, None, 2 << 20):
+        for rb in shared.batches(it, None, STEP_BYTES):
             b, off = utf8(rb.column(1))
             found_here = regions(b, off, grams(width)[0], width)
             hit = twice.has(found_here[3])
@@ -256,7 +258,7 @@ def _texts(found, width: int):
 
     def run(it):
         wanted, had = bitmaps.opened(found), set()
-        for rb in shared.batches(it, None, 2 << 20):
+        for rb in shared.batches(it, None, STEP_BYTES):
             b, off = utf8(rb.column(1))
             _, a, n, key, h, _ = regions(b, off, grams(width)[0], width)
             raw, keys, hashes, texts = b.tobytes(), [], [], []
