@@ -1,10 +1,10 @@
 """Exact dedup with a persistent digest index (operator 4).
 
 The index is a table in the warehouse, bucketed and sorted by SHA-256 digest. New data is
-reduced to one row per digest, anti-joined with the index by sort-merge (the index side is
-read in place, without a shuffle) and what is new is appended. Texts never shuffle; a digest
-that a third of all rows share is pre-aggregated before its shuffle, and the join that gives
-every row its group can be split by Spark at the hot digest.
+reduced to one row per digest and anti-joined with the index by sort-merge (the index side is
+read in place, without a shuffle); what is new is appended, and for known digests their further
+count. Texts never shuffle; a digest that a third of all rows share is pre-aggregated before
+its shuffle, and the join that gives every row its group can be split by Spark at the hot digest.
 
 Defined cases: a null text counts as empty; texts are equal when identical after lower-casing
 A-Z; of equal texts the row with the largest doc_id stays, a null doc_id being smallest, and
@@ -26,17 +26,24 @@ def text_digest(text="text"):
 
 
 class DigestIndex:
-    """Append-only index of text digests: ``digest, keep_id, group_size``."""
+    """Append-only index of text digests. Its table has a row with ``keep_id`` and ``first`` true for
+    each digest, and one for each later batch that had the digest again; ``n`` counts rows."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
         self.spark, self.table = spark, table
         self.buckets = buckets or shared.partitions(spark)
+        if not spark.catalog.tableExists(table):
+            self.append(spark.createDataFrame([], "digest binary, keep_id long, n long, first boolean"))
 
-    def read(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+    def entries(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def read(self) -> DataFrame:
+        """digest, keep_id, group_size: one row for each digest, without a shuffle."""
+        return self.entries().groupBy("digest").agg(F.max(F.when(F.col("first"), F.col("keep_id"))).alias("keep_id"), F.sum("n").alias("group_size"))
 
     def append(self, entries: DataFrame) -> None:
-        out = entries.select("digest", "keep_id", "group_size").write.format("parquet")
+        out = entries.select("digest", "keep_id", "n", "first").repartition(self.buckets, "digest").write.format("parquet")
         out.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:
@@ -44,37 +51,48 @@ class DigestIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Deduplicate ``docs`` (doc_id, text) within itself and against the index, append what
-        is new, and return one row per row of ``docs``: doc_id, keep_id, group_size, kept, digest.
-        A text already indexed keeps the index's keep_id, and group_size counts both."""
+        is new, and return one row per row of ``docs``: doc_id, kept, digest; written. A text already
+        indexed keeps the index's row. ``groups`` gives such rows their keep_id and group_size."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), F.monotonically_increasing_id().alias("row"))
         rows = shared.stored(rows, "digests")
         batch = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("n"))
-        if (index := self.read()) is not None:
-            known = index.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_n"), F.lit(True).alias("known"))
-            batch = batch.hint("merge").join(known, "digest", "left")
-            fresh = F.col("known").isNull()
-            entries = batch.select("digest", F.when(fresh, F.col("last.doc_id")).otherwise(F.col("old_id")).alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"), F.when(fresh, F.col("last.row")).alias("row_kept"))
-        else:
-            entries = batch.select("digest", F.col("last.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("last.row").alias("row_kept"))
-        entries = shared.stored(entries, "digest-groups")
-        new = entries
-        if index is not None:
-            new = entries.hint("merge").join(index.select("digest"), "digest", "left_anti")
-        self.append(new)
-        out = rows.join(entries.hint("merge"), "digest")
-        return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("row_kept"), F.lit(False)).alias("kept"), "digest")
+        batch = shared.stored(batch, "digest-groups")
+        known = self.entries().where("first").select("digest")
+        new = shared.stored(batch.hint("merge").join(known, "digest", "left_anti"), "new-digests")
+        again = batch.hint("merge").join(known, "digest", "left_semi")
+        entries = new.select("digest", F.col("last.doc_id").alias("keep_id"), "n", F.lit(True).alias("first"))
+        again = shared.stored(again.select("digest", F.lit(None).cast("long").alias("keep_id"), "n", F.lit(False).alias("first")), "known-digests")
+        self.append(entries.union(again))
+        kept = new.select("digest", F.col("last.row").alias("row"), F.lit(True).alias("kept"))
+        out = rows.join(kept.hint("merge"), ["digest", "row"], "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"), "digest")
+        out = shared.stored(out, "rows")
+        shared.discard(rows, batch, new, again)
+        return out
+
+    def groups(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of ``add`` with keep_id and group_size as the index has them now."""
+        return rows.join(self.read().hint("merge"), "digest").select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` deduplicated through a new index of its own."""
+    """doc_id, keep_id, group_size, kept and digest of each row of ``docs``, deduplicated in two batches,
+    the larger doc_ids first, through an index of its own; written."""
     spark = docs.sparkSession
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}").add(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5, 100)).first()[0]
+    late = F.coalesce(F.col("doc_id") >= F.lit(middle), F.lit(False))
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    parts = [index.add(docs.where(late)), index.add(docs.where(~late))]
+    out = shared.stored(index.groups(parts[0].union(parts[1])), "copies")
+    shared.discard(*parts)
+    index.drop()
+    return out
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns. Only ids are joined; where a doc_id and its
     text stand in several rows, one of them stays."""
-    groups = shared.stored(exact_groups(docs), "copies")
+    groups = exact_groups(docs)
     gone = groups.where(~F.col("kept")).select("doc_id").where("doc_id IS NOT NULL").distinct()
     kept = groups.where("kept")
     again = groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")

@@ -30,13 +30,20 @@ def test_exact(spark):
 
 def test_exact_index_grows(spark):
     index = exact_dedup.DigestIndex(spark, "index_grows", 2)
-    a = spark.createDataFrame([(1, "A"), (2, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in index.add(a).collect()} == {(1, 1, True), (2, 2, True), (None, None, True), (None, None, False)}
-    b = spark.createDataFrame([(9, "a"), (8, "d")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.add(b).collect()} == {(9, 1, 2, False), (8, 8, 1, True)}
-    assert index.read().count() == 4
-    assert index.add(b.limit(0)).count() == 0
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    seen = lambda rows: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.groups(rows).collect()}
+    a = index.add(frame([(1, "A"), (2, "b"), (None, "c"), (None, "c")]))
+    assert seen(a) == {(1, 1, 1, True), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, False)}
+    b = index.add(frame([(9, "a"), (8, "d")]))
+    assert seen(b) == {(9, 1, 2, False), (8, 8, 1, True)}
+    c = index.add(frame([(11, "a"), (12, "A"), (13, "d"), (14, None), (15, "")]))
+    assert seen(c) == {(11, 1, 4, False), (12, 1, 4, False), (13, 8, 2, False), (14, 15, 2, False), (15, 15, 2, True)}
+    assert seen(a) == {(1, 1, 4, True), (2, 2, 1, True), (None, None, 2, True), (None, None, 2, False)}
+    assert index.read().count() == 5
+    assert index.add(frame([])).count() == 0
     index.drop()
+    assert exact_dedup.exact_groups(frame([])).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def lines(rows, min_chars=20, min_docs=3):
