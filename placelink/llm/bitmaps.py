@@ -15,8 +15,10 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import shared
 
@@ -132,4 +134,34 @@ def opened(shared_filter) -> Filter:
     return _opened[name]
 
 
-__all__ = ["Filter", "Pair", "SCHEMA", "filter_bits", "merged_twice", "opened", "share", "shared"]
+def filter_of(keys: DataFrame, high: int = 30):
+    """A shared filter of the longs in the one column of ``keys`` (written): 16 bits for each, 2**30
+    (128 MB) at most, beyond which it only lets more through."""
+    bits = max(16, min(high, (16 * keys.count()).bit_length()))
+
+    def run(it):
+        pair = Pair(bits)
+        for rb in it:
+            values = rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            pair.once.put(values)
+            pair.twice.put(values)
+        yield from pair.record_batches()
+
+    return share(keys.sparkSession, merged_twice(keys.mapInArrow(run, SCHEMA), bits))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone`` (doc_id: long, not null; written). Only rows that a
+    filter of the ids suspects are shuffled for the exact anti-join; the others stay where they are."""
+    if gone.isEmpty():
+        return docs
+    found = filter_of(gone.select(F.xxhash64("doc_id").alias("key")))
+    suspect = F.pandas_udf(lambda h: pd.Series(opened(found).has(h.to_numpy().view(np.uint64))), "boolean")
+    hit = F.coalesce(suspect(F.xxhash64(F.col("doc_id").cast("long"))), F.lit(False))
+    marked = docs.withColumn("__hit", hit)
+    some = marked.where("__hit").drop("__hit")
+    some = some.join(gone.hint("merge"), some["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    return marked.where("NOT __hit").drop("__hit").union(some)
+
+
+__all__ = ["Filter", "Pair", "SCHEMA", "filter_bits", "filter_of", "merged_twice", "opened", "share", "shared", "without"]

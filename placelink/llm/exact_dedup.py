@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
+from . import bitmaps, shared
 
 
 def text_digest(text="text"):
@@ -90,14 +90,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Only ids are joined; where a doc_id and its
+    """The rows of ``docs`` that stay, all columns. Decided by ids; where a doc_id and its
     text stand in several rows, one of them stays."""
     groups = exact_groups(docs)
-    gone = groups.where(~F.col("kept")).select("doc_id").where("doc_id IS NOT NULL").distinct()
     kept = groups.where("kept")
     again = groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return bitmaps.without(docs, groups.where(~F.col("kept")).select("doc_id"))
     # repeated or null doc_ids: decide by digest, one row each
     own = docs.withColumn("__digest", text_digest())
     keys = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d")).distinct()

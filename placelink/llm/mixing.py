@@ -55,11 +55,19 @@ class Classifier:
         return self.softmax(ngrams.profiles(col, fold=False) @ self.w + self.c).astype(np.float64)
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
-    """``labelled``: doc_id, text, domain."""
-    shared.prepare(labelled.sparkSession)
-    rows = labelled.where("domain IS NOT NULL").select("doc_id", F.col("domain").alias("label"), "text")
-    return Classifier(*ngrams.training_set(ngrams.sample(rows, train_rows, 29), False))
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, domain (language and quality label) of the labelled documents; no texts."""
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL")
+    langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL")
+    return langs.join(ids, "doc_id").select("doc_id", F.concat_ws(":", "lang", "quality").alias("domain")).distinct()
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
+    """``labels``: doc_id, quality. Fitted on about ``train_rows`` labelled documents at most, chosen by id."""
+    shared.prepare(docs.sparkSession)
+    known = shared.stored(domains(docs, labels), "labelled-ids")
+    rows = ngrams.documents_of(docs, ngrams.sample(known, train_rows, 29)).select("doc_id", F.col("domain").alias("label"), "text")
+    return Classifier(*ngrams.training_set(rows, False))
 
 
 def _members(model):
@@ -146,10 +154,9 @@ def _rates(steps, names, base: float):
     return run
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, posteriors, domain, domain_posterior, rate, copies. ``labelled``: doc_id,
-    text, domain."""
-    model = fit(labelled)
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+    """doc_id, n_tokens, posteriors, domain, domain_posterior, rate, copies. ``labels``: doc_id, quality."""
+    model = fit(docs, labels)
     copies = F.floor(F.col("rate") + F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("int")
     if not model.names:
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<double>").alias("posteriors"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("domain_posterior"), F.lit(float(budget)).alias("rate"))
@@ -160,16 +167,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     return out.withColumn("copies", copies)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with a domain: language and quality label."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL")
-    rows = docs.where("lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).join(ids, "doc_id")
-    return rows.select("doc_id", "text", F.concat_ws(":", "lang", "quality").alias("domain"))
-
-
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say; a null doc_id once."""
-    rows = shared.stored(mix(docs, labelled, targets, budget).select("doc_id", "copies"), "rates").where("doc_id IS NOT NULL")
+    rows = shared.stored(mix(docs, labels, targets, budget).select("doc_id", "copies"), "rates").where("doc_id IS NOT NULL")
     rows = rows.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     out = docs.join(rows.hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left")
     times = F.explode(F.expr("CASE WHEN coalesce(__copies, 1) > 0 THEN sequence(1, coalesce(__copies, 1)) END")).alias("__n")
@@ -177,5 +177,4 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
-    return mix(docs, labelled_documents(docs, shared.labels(spark, sf_dir)))
+    return mix(shared.documents(spark, sf_dir), shared.labels(spark, sf_dir))

@@ -149,18 +149,6 @@ def _entries(levels, k: int, percent: int):
     return run
 
 
-def _put_all(bits: int):
-    def run(it):
-        pair = bitmaps.Pair(bits)
-        for rb in it:
-            keys = rb.column(0).to_numpy().view(np.uint64)
-            pair.once.put(keys)
-            pair.twice.put(keys)
-        yield from pair.record_batches()
-
-    return run
-
-
 def _sets(found, k: int):
     def out(rows):
         fp, s = zip(*rows)
@@ -316,7 +304,9 @@ def candidate_groups(lists: DataFrame, percent: int) -> DataFrame:
     many = held.where((F.col("c") > PAIRED) & (F.col("place") >= least)).select("key", "fp")
     low = shared.stored(many.groupBy("key").agg(F.min("fp").alias("low")), "low-nodes")  # so that Spark can split the join at a long list
     stars = many.join(low.hint("merge"), "key").where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")).distinct()
-    return components(pairs.union(stars))
+    out = components(pairs.union(stars))
+    shared.discard(heads, held, low)
+    return out
 
 
 def least_overlap_of(n, percent: int):
@@ -338,13 +328,14 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     nodes = signatures.where("n > 0").select("fp", "n").distinct()
     entries = docs.mapInArrow(_entries(levels, k, percent), "key long, fp long").repartition(F.col("key"))
     held = entries.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
-    lists = shared.stored(entries.join(held.hint("shuffle_hash"), "key").distinct(), "lists")
+    every = shared.stored(entries.join(held.hint("shuffle_hash"), "key").distinct(), "lists")
     shared.release(spark)
     # nodes with enough shared lists, whatever the partner
-    enough = lists.groupBy("fp").agg(F.count("*").alias("c")).join(nodes.hint("merge"), "fp")
+    enough = every.groupBy("fp").agg(F.count("*").alias("c")).join(nodes.hint("merge"), "fp")
     enough = enough.where(F.col("c") >= occurrences_of(least_overlap_of(F.col("n"), percent), percent)).select("fp", "n")
     enough = shared.stored(enough, "open-nodes")
-    lists = shared.stored(lists.join(enough.hint("merge"), "fp"), "lists")
+    lists = shared.stored(every.join(enough.hint("merge"), "fp"), "lists")
+    shared.discard(every)
     groups = candidate_groups(lists, percent)
     groups = groups.union(groups.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp")
     groups = shared.stored(groups.join(enough.hint("merge"), "fp"), "groups")
@@ -353,8 +344,9 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     blocks = shared.stored(groups.groupBy("root").agg(blocks.alias("blocks")), "group-blocks")
     places = groups.join(blocks.hint("merge"), "root").select("fp", "root", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("block"))
     places = shared.stored(places, "places")
-    bits = max(20, min(30, (24 * places.count()).bit_length()))
-    found = bitmaps.share(spark, bitmaps.merged_twice(places.select("fp").mapInArrow(_put_all(bits), bitmaps.SCHEMA), bits))
+    shared.discard(lists, groups, blocks, enough)
+    shared.release(spark)
+    found = bitmaps.filter_of(places.select("fp"))
     sets = docs.mapInArrow(_sets(found, k), "fp long, shingles binary").groupBy("fp").agg(F.max("shingles").alias("shingles"))
     rows = sets.join(places.hint("merge"), "fp").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("root", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "blocks", "fp", "shingles")
@@ -366,7 +358,9 @@ def link_roots(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     parts = components(links.where("blocks > 1").select(F.col("fp").alias("u"), F.col("root").alias("v")))
     roots = links.where("blocks = 1").select("fp", "root").union(parts.select(F.col("node").alias("fp"), "root"))
     out = counts.join(roots.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n_links")
-    return signatures, shared.stored(out, "linked-nodes")
+    out = shared.stored(out, "linked-nodes")
+    shared.discard(links, places)
+    return signatures, out
 
 
 def _members(signatures: DataFrame, roots: DataFrame) -> DataFrame:
@@ -391,8 +385,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if it has no other), and every row with an empty set."""
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         parts = shared.stored(linked_components(docs, k, percent), "groups")
-        gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+        return bitmaps.without(docs, parts.where("doc_id <> component_id").select("doc_id"))
     # repeated or null doc_ids: decide by the row's set
     node = _members(*link_roots(docs, k, percent))
     least = node.groupBy("comp").agg(F.min("doc_id").alias("least"))

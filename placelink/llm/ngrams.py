@@ -49,6 +49,11 @@ def sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+def documents_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (doc_id and more; from ``sample``, so of bounded size) with the texts of their documents; no text moves."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+
+
 def _profile_rows(fold: bool):
     def run(it):
         for rb in shared.batches(it, ["label", "text"]):

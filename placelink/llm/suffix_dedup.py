@@ -275,18 +275,6 @@ def _texts(found, width: int):
     return run
 
 
-def _all_hashes(bits: int):
-    def run(it):
-        pair = bitmaps.Pair(bits)
-        for rb in it:
-            keys = rb.column(0).to_numpy().view(np.uint64)
-            pair.once.put(keys)
-            pair.twice.put(keys)
-        yield from pair.record_batches()
-
-    return run
-
-
 def _finer(k: int, width: int):
     def run(it):
         for rb in it:
@@ -454,8 +442,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, keep_text: bool = True
     whole, open_ = (shared.stored(x, name) for x, name in zip(_sorted_out(uniq, width), ("whole-regions", "open-regions")))
     shared.release(spark)
     # only now the texts, and only of regions that have to be compared, each once
-    bits = max(20, min(30, (16 * open_.count()).bit_length()))
-    wanted = bitmaps.share(spark, bitmaps.merged_twice(open_.select("hash").mapInArrow(_all_hashes(bits), bitmaps.SCHEMA), bits))
+    wanted = bitmaps.filter_of(open_.select("hash"))
     texts = docs.mapInArrow(_texts(wanted, width), "key long, hash long, text binary").groupBy("key", "hash").agg(F.first("text").alias("text"))
     texts = shared.stored(texts.join(open_.hint("merge"), ["key", "hash"]).select("key", "hash", "n", "bytes", "text"), "region-texts")
     shared.discard(uniq, open_)

@@ -377,18 +377,20 @@ def train(bags: list[list[bytes]], toxic: list[int], landmarks: int = LANDMARKS,
     return model
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """``labelled``: doc_id, text, toxic."""
-    shared.prepare(labelled.sparkSession)
-    labelled = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """``labels``: doc_id, toxic. Fitted on about ``train_rows`` documents of each class at most, chosen by id."""
+    shared.prepare(docs.sparkSession)
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    known = shared.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(labels, "doc_id").distinct(), "labelled-ids")
     bags: list[list[bytes]] = []
     toxic: list[int] = []
     for v in (0, 1):
-        got = ngrams.sample(labelled.where(F.col("toxic") == v), train_rows, 17).select("toxic", "text").mapInArrow(_bags, "toxic int, tokens array<binary>").toArrow()
+        chosen = ngrams.documents_of(docs, ngrams.sample(known.where(F.col("toxic") == v), train_rows, 17))
+        got = chosen.select("toxic", "text").mapInArrow(_bags, "toxic int, tokens array<binary>").toArrow()
         bags += got.column("tokens").to_pylist()
         toxic += got.column("toxic").to_pylist()
     order = sorted(range(len(bags)), key=lambda i: (toxic[i], bags[i]))
-    count = {r.toxic: r["count"] for r in labelled.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    count = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = min(0.9, max(0.01, count.get(1, 0) / max(1, sum(count.values()))))
     return train([bags[i] for i in order], [toxic[i] for i in order], share=share)
 
@@ -428,13 +430,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     return docs.mapInArrow(_keep(found, docs.columns.index("text"), threshold), docs.schema)
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     labels = shared.labels(spark, sf_dir).where(~shared.held_out(F.col("doc_id")))
-    out = score(docs, fit(labelled_documents(docs, labels)))
+    out = score(docs, fit(docs, labels))
     return out.select("doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
