@@ -14,7 +14,7 @@ from placelink.llm import exact_dedup, mixing, ngram_join, packing, shared, toxi
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it is fitted on the labelled documents among ``docs``."""
-    return toxicity.drop_toxic(docs, toxicity.fit(toxicity.labelled_documents(docs, shared.labels(spark, sf_dir))))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, shared.labels(spark, sf_dir)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates towards the target weights say."""
-    return mixing.mixed_documents(docs, mixing.labelled_documents(docs, shared.labels(spark, sf_dir)))
+    return mixing.mixed_documents(docs, shared.labels(spark, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
