@@ -55,6 +55,17 @@ def scores_column(query: Column, results: Column, config: Config = DEFAULT) -> C
     return run(query, results)
 
 
+def evidence_column(query_token: Column, name_token: Column, config: Config = DEFAULT) -> Column:
+    """The first rung of the ladder that holds between two tokens: struct of score, method and ratio."""
+
+    @F.pandas_udf("struct<score:double,method:string,ratio:double>")
+    def run(q: pd.Series, r: pd.Series) -> pd.DataFrame:
+        evidence = _scorer(config).evidence
+        return pd.DataFrame([evidence(a, b) for a, b in zip(q, r)], columns=["score", "method", "ratio"])
+
+    return run(query_token, name_token)
+
+
 def score_pairs(df: DataFrame, query: str = "query", result: str = "result", distinct: bool = False, strict: bool = False, config: Config = DEFAULT) -> DataFrame:
     """``df`` with ``score``. ``strict`` raises on a null; otherwise its score is null."""
     if strict:
@@ -71,7 +82,8 @@ def explain_column(query: Column, result: Column, config: Config = DEFAULT) -> C
 
     @F.pandas_udf(DEBUG)
     def run(q: pd.Series, r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_breakdown(_scorer(config), a, b) for a, b in zip(q, r)], columns=_FIELDS)
+        scorer = _scorer(config)
+        return pd.DataFrame([_breakdown(scorer, a, b) for a, b in zip(q, r)], columns=_FIELDS)
 
     return run(query, result)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placelink.functions import kernels, text
 from placelink.lexicons import DEFAULT
 from placelink.operators import pairs
-from placelink.plans import report
+from placelink.plans import oracle, report
 from placelink.sources.cases import split_flat
 
 TYPOS = {
@@ -22,6 +22,8 @@ TYPOS = {
     7: "concat('New ', {r}, ' Street')",
 }
 TYPO_SQL = "CASE s_suppkey % 8 " + " ".join(f"WHEN {k} THEN {v.format(r='r_name')}" for k, v in TYPOS.items()) + " END"
+#: What the short names below stand for.
+MEANT = ["california", "canada", "india", "northwest", "states", "united"]
 SHORT_SQL = "CASE s_suppkey % 5 WHEN 0 THEN 'USA' WHEN 1 THEN 'Bharat' WHEN 2 THEN 'NW' WHEN 3 THEN 'ca' ELSE 'Old Town' END"
 ADDRESS_SQL = f"concat('Unit ', CAST(s_suppkey AS {{text}}), ', ', n_name, ', ', {SHORT_SQL}, ', ', {TYPO_SQL})"
 
@@ -38,6 +40,11 @@ _ADDR = f"""addr AS (SELECT s_suppkey, r_name, {ADDRESS_SQL.format(text="VARCHAR
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
+_CANDIDATES = f"""{_ADDR}, names AS (SELECT r_name AS name, (row_number() OVER (ORDER BY r_regionkey) - 1)::INTEGER AS pos FROM region),
+cand AS (SELECT s_suppkey, query, r_name, name, pos, s_suppkey * 100 + pos AS id FROM addr, names)"""
+_CANDIDATE_SRC = "src AS (SELECT id, query, name AS result FROM cand)"
+
+
 def with_regions(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Each row with the five regions, a table of fixed size, as candidates."""
     names = [r.r_name for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
@@ -67,7 +74,8 @@ def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summary(pairs.score_pairs(addresses(spark, sf_dir).withColumnRenamed("r_name", "result"), distinct=True), "score")
+    out = report.summary(pairs.score_pairs(addresses(spark, sf_dir).withColumnRenamed("r_name", "result"), distinct=True), "score")
+    return out.withColumn("avg", F.round("avg", 6))
 
 
 def flat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +87,9 @@ def flat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def garbage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    word = F.expr("CASE turn % 4 WHEN 0 THEN ' N/A 123' WHEN 1 THEN '--' WHEN 2 THEN '42 7' ELSE text END")
-    return df.select("conv_id", "turn", F.coalesce(text.is_garbage(word), F.lit(True)).alias("garbage"))
+    flag = lambda x: F.coalesce(text.is_garbage(x), F.lit(True))
+    known = F.expr("CASE turn % 3 WHEN 0 THEN ' N/A 123' WHEN 1 THEN '--' ELSE '42 7' END")
+    return df.select("conv_id", "turn", flag(F.col("text")).alias("garbage"), flag(known).alias("known_garbage"), flag(F.split(F.col("text"), " ")[0]).alias("first_word_garbage"))
 
 
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +117,14 @@ def typo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("q", "r", F.levenshtein("q", "r").cast("long").alias("edits"), F.round(kernels.jaro_winkler_column(F.col("q"), F.col("r")), 6).alias("jw"))
 
 
-def region_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each typed region and each region, the rungs that string containment and edits decide."""
-    regions = [r.r_name.lower() for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()]
-    df = addresses(spark, sf_dir).select(F.lower("typed").alias("q")).distinct()
-    df = df.withColumn("r", F.explode(F.array(*map(F.lit, regions))))
-    edits, ratio = F.levenshtein("q", "r"), F.length("r") / F.length("q")
-    edge = F.expr("startswith(q, r) OR endswith(q, r)")
-    rung = F.when(F.col("q") == F.col("r"), "exact").when(F.expr("contains(q, r)") & edge, "edge").when(F.expr("contains(q, r)"), "embedded").when(F.expr("contains(r, q)"), "inside").when(edits <= 2, "near").otherwise("none")
-    value = F.when(rung == "exact", 1.0).when(rung == "edge", F.least(0.65 * ratio * 1.6, F.lit(0.58))).when(rung == "embedded", F.least(0.65 * ratio, F.lit(0.45))).when(rung == "near", 0.9 * F.element_at(F.array(F.lit(1.0), F.lit(0.88), F.lit(0.75)), edits + 1)).otherwise(0.0)
-    return df.select("q", "r", rung.alias("rung"), F.round(value, 4).alias("score"))
+def token_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence between each word of an address, or what it stands for, and each word of a
+    region's name: every rung of the ladder, each distinct pair of words once."""
+    words = [w for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect() for w in r.r_name.lower().split()] + MEANT
+    typed = F.split(F.lower(F.concat_ws(" ", "typed", F.expr(SHORT_SQL), F.concat("r_name", F.lit("s")), F.expr("substr(r_name, 2)"), F.expr("substr(r_name, 3, 4)"), F.concat(F.lit("xy"), "r_name", F.lit("zw")))), " ")
+    df = addresses(spark, sf_dir).select(F.explode(typed).alias("q")).where("q <> ''").distinct()
+    df = df.withColumn("r", F.explode(F.array(*map(F.lit, words)))).withColumn("e", pairs.evidence_column(F.col("q"), F.col("r")))
+    return df.select("q", "r", "e.method", F.round("e.score", 6).alias("score"), "e.ratio")
 
 
 def best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,16 +159,13 @@ def distinct_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.score_pairs(rows, distinct=True)
 
 
-def _list(words) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + "]"
+_list, _ABBR = oracle.list_of, {k: " ".join(v) for k, v in DEFAULT.abbreviations.items()}
 
 
 def _map(table: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
 
 
-_CLEAN = r"""trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[/|\\\-.,"''‘’“”()\[\]#;:!?{{}}]', ' ', 'g'), '\s+', ' ', 'g'))"""
-_ABBR = {k: " ".join(v) for k, v in DEFAULT.abbreviations.items()}
 QUERIES = {
     "best_place": flagship,
     "candidate_scores": candidate_scores,
@@ -175,7 +179,7 @@ QUERIES = {
     "folded_text": folded_text,
     "address_tokens": address_tokens,
     "typo_distances": typo_distances,
-    "region_ladder": region_ladder,
+    "token_ladder": token_ladder,
     "best_region": best_region,
     "edit_tiers": edit_tiers,
     "top_addresses": top_addresses,
@@ -183,12 +187,11 @@ QUERIES = {
 ORACLE_SQL = {
     "flat_candidates": """WITH p AS (SELECT p_partkey, list_filter(list_transform(string_split(concat(p_name, ' , ', p_brand, ',, ', p_type), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM part)
 SELECT p_partkey, l[1] AS name, array_to_string(l[2:], '|') AS aliases FROM p""",
-    "garbage_flags": f"""WITH c AS (SELECT conv_id, turn, lower(strip_accents(CASE turn % 4 WHEN 0 THEN ' N/A 123' WHEN 1 THEN '--' WHEN 2 THEN '42 7' ELSE text END)) AS t FROM conversations),
-w AS (SELECT conv_id, turn, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM c)
-SELECT conv_id, turn, coalesce(t = '' OR list_contains({_list(DEFAULT.garbage)}, t) OR len(list_filter(string_split(t, ' '), lambda x: NOT (list_contains({_list(DEFAULT.garbage)}, x) OR regexp_full_match(x, '\\d+')))) = 0, true) AS garbage FROM w""",
+    "garbage_flags": f"""WITH c AS (SELECT conv_id, turn, lower(strip_accents(text)) AS a, lower(CASE turn % 3 WHEN 0 THEN ' N/A 123' WHEN 1 THEN '--' ELSE '42 7' END) AS b, lower(strip_accents(string_split(text, ' ')[1])) AS c FROM conversations)
+SELECT conv_id, turn, coalesce({oracle.garbage("a")}, true) AS garbage, coalesce({oracle.garbage("b")}, true) AS known_garbage, coalesce({oracle.garbage("c")}, true) AS first_word_garbage FROM c""",
     "folded_text": "SELECT doc_id, md5(lower(strip_accents(coalesce(text, '')))) AS folded_md5 FROM documents",
     "address_tokens": f"""WITH {_ADDR},
-c AS (SELECT s_suppkey, string_split({_CLEAN.format(x="query")}, ' ') AS q, string_split({_CLEAN.format(x="r_name")}, ' ') AS r FROM addr),
+c AS (SELECT s_suppkey, string_split({oracle.CLEAN.format(x="lower(strip_accents(query))")}, ' ') AS q, string_split({oracle.CLEAN.format(x="lower(strip_accents(r_name))")}, ' ') AS r FROM addr),
 t AS (SELECT s_suppkey, len(q) AS n_words,
   list_filter(q, lambda x: (len(x) >= 2 OR list_contains({_list(_ABBR)}, x)) AND NOT regexp_full_match(x, '\\d+') AND (list_contains({_list(_ABBR)}, x) OR NOT regexp_matches(x, '^[a-z]\\d+|^\\d+[a-z]+$'))) AS q,
   list_filter(r, lambda x: len(x) >= 2 OR list_contains({_list(_ABBR)}, x)) AS r FROM c),
@@ -200,9 +203,18 @@ e1 AS (SELECT * EXCLUDE (e), list_filter(e, lambda x, i: list_position(e, x) = i
 e2 AS (SELECT * EXCLUDE (e), list_concat(e, flatten(list_transform(list_filter(e, lambda x: list_contains({_list(DEFAULT.alternates)}, x)), lambda x: string_split({_map(DEFAULT.alternates)}[x], ' ')))) AS e FROM e1)
 SELECT s_suppkey, n_words, array_to_string(q, ' ') AS query_tokens, array_to_string(r, ' ') AS result_tokens, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ' ') AS enriched FROM e2""",
     "typo_distances": f"WITH {_ADDR}, d AS (SELECT DISTINCT lower(typed) AS q, lower(r_name) AS r FROM addr) SELECT q, r, levenshtein(q, r) AS edits, round(jaro_winkler_similarity(q, r), 6) AS jw FROM d",
-    "region_ladder": f"""WITH {_ADDR}, d AS (SELECT DISTINCT lower(a.typed) AS q, lower(region.r_name) AS r FROM addr a, region),
-l AS (SELECT q, r, levenshtein(q, r) AS e, length(r) / length(q) AS ratio, CASE WHEN q = r THEN 'exact' WHEN starts_with(q, r) OR ends_with(q, r) THEN 'edge' WHEN contains(q, r) THEN 'embedded' WHEN contains(r, q) THEN 'inside' WHEN levenshtein(q, r) <= 2 THEN 'near' ELSE 'none' END AS rung FROM d)
-SELECT q, r, rung, round(CASE rung WHEN 'exact' THEN 1.0::DOUBLE WHEN 'edge' THEN least(0.65::DOUBLE * ratio * 1.6::DOUBLE, 0.58::DOUBLE) WHEN 'embedded' THEN least(0.65::DOUBLE * ratio, 0.45::DOUBLE) WHEN 'near' THEN 0.9::DOUBLE * [1.0::DOUBLE, 0.88::DOUBLE, 0.75::DOUBLE][e + 1] ELSE 0.0 END, 4) AS score FROM l""",
+    "token_ladder": f"""WITH {_ADDR}, w AS (SELECT DISTINCT unnest(string_split(lower(r_name), ' ')) AS r FROM region UNION SELECT unnest({_list(MEANT)})),
+t AS (SELECT DISTINCT unnest(string_split(lower(concat_ws(' ', typed, {SHORT_SQL}, concat(r_name, 's'), substr(r_name, 2), substr(r_name, 3, 4), concat('xy', r_name, 'zw'))), ' ')) AS q FROM addr),
+pairs AS (SELECT q, r FROM t, w WHERE q <> ''), {oracle.EVIDENCE} SELECT q, r, method, round(score, 6) AS score, ratio FROM evidence""",
+    "best_place": f"""WITH {_CANDIDATES}, {oracle.scored(_CANDIDATE_SRC)}
+SELECT s_suppkey, query, r_name, name, score, CASE WHEN score >= 0.75 THEN 'HIGH' WHEN score >= 0.40 THEN 'MEDIUM' ELSE 'LOW' END AS tier
+FROM cand JOIN final USING (id) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, pos) = 1""",
+    "candidate_scores": f"""WITH {_CANDIDATES}, {oracle.scored(_CANDIDATE_SRC)}
+SELECT s_suppkey, pos, name, score AS final_score, name AS best_variant, 1::INTEGER AS variants_total, concat('{{"', name, '":', score::VARCHAR, '}}') AS all_scores FROM cand JOIN final USING (id)""",
+    "distinct_pair_scores": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, typed AS query, r_name AS result FROM addr)")}
+SELECT s_suppkey, typed AS query, r_name AS result, score FROM addr JOIN final ON id = s_suppkey""",
+    "score_summary": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, query, r_name AS result FROM addr)")}
+SELECT count(*) AS total, count(*) FILTER (WHERE score >= 0.75) AS high, count(*) FILTER (WHERE score >= 0.40 AND score < 0.75) AS medium, count(*) FILTER (WHERE score < 0.40) AS low, round(avg(score), 6) AS avg, min(score) AS min, max(score) AS max FROM final""",
     "best_region": f"""WITH {_ADDR}, s AS (SELECT s_suppkey, region.r_name AS best, levenshtein(upper(typed), region.r_name) AS edits FROM addr, region)
 SELECT s_suppkey, arg_min(best, (edits, best)) AS best, min(edits) AS edits FROM s GROUP BY s_suppkey""",
     "edit_tiers": f"""WITH {_ADDR}, s AS (SELECT round(1 - levenshtein(upper(typed), r_name)::DOUBLE / 10, 4) AS score FROM addr)
