@@ -398,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 def _score(model):
     def run(it):
         m = model.value
-        for rb in shared.batches(it, ["doc_id", "text"], 8 << 20):
+        for rb in shared.batches(it, ["doc_id", "text"], 2 << 20):
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(m.scores(rb.column(1)))], ["doc_id", "score"])
 
     return run
@@ -415,7 +415,7 @@ def _keep(model, at: int, threshold: float):
     def run(it):
         m = model.value
         for rb in it:
-            for part in shared.batches([rb], [*["-"] * at, "text"], 8 << 20, at):
+            for part in shared.batches([rb], [*["-"] * at, "text"], 2 << 20, at):
                 ok = m.scores(part.column(at)) < threshold
                 if ok.any():
                     yield part.filter(pa.array(ok))
