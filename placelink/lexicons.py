@@ -7,37 +7,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Words that a result's name does not need.
-ADMINISTRATIVE = """
+# Words of administration, which neither an address nor a result's name needs.
+RESULT_STOPWORDS = frozenset("""
 commonwealth district federation kingdom municipality prefecture province region republic state territory
-""".split()
-# Parts of street names.
-STREET_WORDS = """
-aly alley ave avenue blvd boulevard bridge chowk cir circle close corner court cres crescent cross crossing ct
-dr drive highway hwy junction lane ln marg parkway path pkwy pl place rd road route square st street ter
-terrace trail trl way
-""".split()
-# Function words and words of place.
-FUNCTION_WORDS = """
-a above across adj adjacent along an and at back behind below beside between by care central co do for from
-front greater here i in inner into is it its live lower main near new next no of old on opp opposite or outer
-so that the there this to upper with
-""".split()
-# Buildings, units, offices and shops.
-PREMISES = """
-address airport apartment apt area attention attn bazaar bldg blk block blue borough box brand building
-cabinet cafe camp cantonment center centre church city code college colony commercial complex cottage country
-county dam div division doorno enclave estate ext extension flat floor fort furniture gallery garden gpo green
-hamlet hno hospital hotel house industrial institute island lab layout locality location mailbox mall market
-metro mosque nagar num number ofc office outlet park phase pin pincode plot po pob port postal postbox ran red
-rent residence residential restaurant rm room sandwich school sec sector shoes shop society station ste store
-studio suburban suite temple tower town township unit university villa village ward white wing wo zip zipcode
-zone
-""".split()
-#: Plurals that count as well.
-PLURALS = [w + "s" for w in ['estate', 'garden']]
-RESULT_STOPWORDS = frozenset(ADMINISTRATIVE)
-ADDRESS_STOPWORDS = frozenset([*ADMINISTRATIVE, *STREET_WORDS, *FUNCTION_WORDS, *PREMISES, *PLURALS])
+""".split())
+# Other words that say nothing of the place in an address.
+ADDRESS_STOPWORDS = RESULT_STOPWORDS | frozenset("""
+a above across address adj adjacent airport alley along aly an and apartment apt area at attention attn ave
+avenue back bazaar behind below beside between bldg blk block blue blvd borough boulevard box brand bridge
+building by cabinet cafe camp cantonment care center central centre chowk church cir circle city close co code
+college colony commercial complex corner cottage country county court cres crescent cross crossing ct dam div
+division do doorno dr drive enclave estate estates ext extension flat floor for fort from front furniture
+gallery garden gardens gpo greater green hamlet here highway hno hospital hotel house hwy i in industrial
+inner institute into is island it its junction lab lane layout live ln locality location lower mailbox main
+mall marg market metro mosque nagar near new next no num number of ofc office old on opp opposite or outer
+outlet park parkway path phase pin pincode pkwy pl place plot po pob port postal postbox ran rd red rent
+residence residential restaurant rm road room route sandwich school sec sector shoes shop so society square st
+station ste store street studio suburban suite temple ter terrace that the there this to tower town township
+trail trl unit university upper villa village ward way white wing with wo zip zipcode zone
+""".split())
 # Inputs that stand for nothing.
 GARBAGE = frozenset("""
 - -- --- . .. ... 0 00 000 aaa abc dummy example n.a n.a. n/a na nil nill none null pending sample tba tbd
@@ -119,91 +107,128 @@ ABBREVIATIONS = {
     "wa": ["washington", "western australia"],
     "wi": ["wisconsin"],
 }
-# Other names by the name they stand for.
-OTHER_NAMES = {
-    "albania": ["shqiperia"],
-    "algeria": ["al-jazair"],
-    "armenia": ["hayastan"],
-    "athens": ["athenes", "athina"],
-    "austria": ["osterreich"],
-    "bangkok": ["krung thep"],
-    "beijing": ["peking"],
-    "beirut": ["bayrut"],
-    "belgium": ["belgie", "belgique"],
-    "belgrade": ["beograd"],
-    "brazil": ["brasil", "bresil"],
-    "brussels": ["brussel", "bruxelles"],
-    "bucharest": ["bucuresti"],
-    "cairo": ["al-qahira", "le caire"],
-    "chennai": ["madras"],
-    "china": ["zhongguo"],
-    "cologne": ["koln"],
-    "copenhagen": ["copenhague", "kobenhavn"],
-    "cornwall": ["kernow"],
-    "croatia": ["hrvatska"],
-    "czech republic": ["cesko", "czechia"],
-    "damascus": ["dimashq"],
-    "denmark": ["danmark"],
-    "egypt": ["egypte", "masr", "misr"],
-    "ethiopia": ["abyssinia"],
-    "finland": ["suomi"],
-    "france": ["francia", "frankreich"],
-    "geneva": ["geneve", "genf"],
-    "georgia": ["sakartvelo"],
-    "germany": ["alemania", "allemagne", "deutschland", "germania"],
-    "greece": ["ellada", "hellas"],
-    "ho chi minh city": ["saigon"],
-    "hungary": ["hongrie", "magyarorszag"],
-    "india": ["bharat", "hindustan"],
-    "iran": ["eiran", "eyran", "persia"],
-    "iraq": ["al-iraq"],
-    "ireland": ["eire"],
-    "israel": ["yisrael"],
-    "istanbul": ["byzantium", "constantinople"],
-    "italy": ["italia", "italie"],
-    "japan": ["nihon", "nippon"],
-    "kolkata": ["calcutta"],
-    "lebanon": ["lubnan"],
-    "libya": ["libye"],
-    "lisbon": ["lisboa", "lisbonne"],
-    "mexico": ["mexique"],
-    "morocco": ["maroc"],
-    "moscow": ["moscou", "moskva"],
-    "mumbai": ["bombay"],
-    "munich": ["munchen"],
-    "myanmar": ["burma"],
-    "netherlands": ["holland", "hollande", "nederland"],
-    "new zealand": ["aotearoa"],
-    "north korea": ["chosen", "joseon"],
-    "norway": ["norge"],
-    "palestine": ["filastin"],
-    "poland": ["pologne", "polska"],
-    "prague": ["prag", "praha"],
-    "riyadh": ["al-riyadh"],
-    "romania": ["romania", "roumanie"],
-    "rome": ["roma"],
-    "russia": ["rossiya", "russie"],
-    "scotland": ["alba"],
-    "serbia": ["srbija"],
-    "south korea": ["hanguk"],
-    "spain": ["espagne", "espana"],
-    "sweden": ["sverige"],
-    "switzerland": ["schweiz", "suisse", "svizzera"],
-    "syria": ["suriya"],
-    "taiwan": ["formosa"],
-    "thailand": ["siam"],
-    "the hague": ["den haag"],
-    "timor leste": ["east timor", "timor leste"],
-    "tunisia": ["tunisie"],
-    "turkey": ["turkiye", "turquie"],
-    "vienna": ["vienne", "wien"],
-    "wales": ["cymru"],
-    "warsaw": ["varsovie", "warszawa"],
-    "yangon": ["rangoon"],
-    "zimbabwe": ["rhodesia"],
-    "zurich": ["zurich"],
+# Other names and the names that they stand for.
+ALTERNATES = {
+    "abyssinia": "ethiopia",
+    "al-iraq": "iraq",
+    "al-jazair": "algeria",
+    "al-qahira": "cairo",
+    "al-riyadh": "riyadh",
+    "alba": "scotland",
+    "alemania": "germany",
+    "allemagne": "germany",
+    "aotearoa": "new zealand",
+    "athenes": "athens",
+    "athina": "athens",
+    "bayrut": "beirut",
+    "belgie": "belgium",
+    "belgique": "belgium",
+    "beograd": "belgrade",
+    "bharat": "india",
+    "bombay": "mumbai",
+    "brasil": "brazil",
+    "bresil": "brazil",
+    "brussel": "brussels",
+    "bruxelles": "brussels",
+    "bucuresti": "bucharest",
+    "burma": "myanmar",
+    "byzantium": "istanbul",
+    "calcutta": "kolkata",
+    "cesko": "czech republic",
+    "chosen": "north korea",
+    "constantinople": "istanbul",
+    "copenhague": "copenhagen",
+    "cymru": "wales",
+    "czechia": "czech republic",
+    "danmark": "denmark",
+    "den haag": "the hague",
+    "deutschland": "germany",
+    "dimashq": "damascus",
+    "east timor": "timor leste",
+    "egypte": "egypt",
+    "eiran": "iran",
+    "eire": "ireland",
+    "ellada": "greece",
+    "espagne": "spain",
+    "espana": "spain",
+    "eyran": "iran",
+    "filastin": "palestine",
+    "formosa": "taiwan",
+    "francia": "france",
+    "frankreich": "france",
+    "geneve": "geneva",
+    "genf": "geneva",
+    "germania": "germany",
+    "hanguk": "south korea",
+    "hayastan": "armenia",
+    "hellas": "greece",
+    "hindustan": "india",
+    "holland": "netherlands",
+    "hollande": "netherlands",
+    "hongrie": "hungary",
+    "hrvatska": "croatia",
+    "italia": "italy",
+    "italie": "italy",
+    "joseon": "north korea",
+    "kernow": "cornwall",
+    "kobenhavn": "copenhagen",
+    "koln": "cologne",
+    "krung thep": "bangkok",
+    "le caire": "cairo",
+    "libye": "libya",
+    "lisboa": "lisbon",
+    "lisbonne": "lisbon",
+    "lubnan": "lebanon",
+    "madras": "chennai",
+    "magyarorszag": "hungary",
+    "maroc": "morocco",
+    "masr": "egypt",
+    "mexique": "mexico",
+    "misr": "egypt",
+    "moscou": "moscow",
+    "moskva": "moscow",
+    "munchen": "munich",
+    "nederland": "netherlands",
+    "nihon": "japan",
+    "nippon": "japan",
+    "norge": "norway",
+    "osterreich": "austria",
+    "peking": "beijing",
+    "persia": "iran",
+    "pologne": "poland",
+    "polska": "poland",
+    "prag": "prague",
+    "praha": "prague",
+    "rangoon": "yangon",
+    "rhodesia": "zimbabwe",
+    "roma": "rome",
+    "romania": "romania",
+    "rossiya": "russia",
+    "roumanie": "romania",
+    "russie": "russia",
+    "saigon": "ho chi minh city",
+    "sakartvelo": "georgia",
+    "schweiz": "switzerland",
+    "shqiperia": "albania",
+    "siam": "thailand",
+    "srbija": "serbia",
+    "suisse": "switzerland",
+    "suomi": "finland",
+    "suriya": "syria",
+    "sverige": "sweden",
+    "svizzera": "switzerland",
+    "timor leste": "timor leste",
+    "tunisie": "tunisia",
+    "turkiye": "turkey",
+    "turquie": "turkey",
+    "varsovie": "warsaw",
+    "vienne": "vienna",
+    "warszawa": "warsaw",
+    "wien": "vienna",
+    "yisrael": "israel",
+    "zhongguo": "china",
+    "zurich": "zurich",
 }
-ALTERNATES = {name: place for place, names in OTHER_NAMES.items() for name in names}
 
 
 @dataclass(frozen=True)
