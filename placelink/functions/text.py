@@ -5,32 +5,60 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from placelink.functions.kernels import fold
 from placelink.lexicons import DEFAULT, Config
 
 
-def _single_folds() -> tuple[str, str]:
-    src, dst = [], []
-    for cp in range(0xC0, min(sys.maxunicode, 0x2000)):
+def _folds() -> tuple[str, str, str]:
+    """Characters that lose their marks and stay one character, what they become, and those that
+    decompose to several: ranges of a pattern."""
+    src, dst, several = [], [], []
+    for cp in range(0xC0, sys.maxunicode + 1):
         c = chr(cp)
-        f = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
-        if len(f) == 1 and f != c:
+        if 0xD800 <= cp < 0xE000 or (d := unicodedata.normalize("NFD", c)) == c:
+            continue
+        f = "".join(x for x in d if unicodedata.category(x) != "Mn")
+        if len(f) == 1 and cp <= 0xFFFF and ord(f) <= 0xFFFF:
             src.append(c)
             dst.append(f)
-    return "".join(src), "".join(dst)
+        elif len(f) != 1 or f != c:
+            several.append(cp)
+    ranges: list[list[int]] = []
+    for cp in several:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "".join(src), "".join(dst), "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in ranges)
 
 
-_SRC, _DST = _single_folds()
+_SRC, _DST, _SEVERAL = _folds()
 
 
-def normalized(text: Column) -> Column:
-    """Accents off, lower case. Latin, Greek and Cyrillic letters; Hangul and rarer scripts decompose
-    to several characters, which the scorer's kernel does."""
+@F.pandas_udf(StringType())
+def _fold_rest(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else fold(x))
+
+
+def normalized(text: Column, whole: bool = False) -> Column:
+    """Accents off, lower case. One-to-one folds and marks of all of Unicode by built-in functions. Letters
+    that decompose to several, as Hangul, keep their form unless ``whole``: then a kernel in Python
+    folds all texts, which array functions cannot call."""
+    if whole:
+        return _fold_rest(text)
     return F.lower(F.regexp_replace(F.translate(text, _SRC, _DST), r"\p{Mn}", ""))
 
 
+def needs_kernel(text: Column) -> Column:
+    """Whether the text has letters that ``normalized`` folds only by the kernel."""
+    return text.rlike(f"[{_SEVERAL}]")
+
+
 def cleaned(norm: Column) -> Column:
     """Slashes, bars and hyphens and other punctuation as blanks; blanks collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(norm, r"""[/|\\\-.,"'‘’“”()\[\]#;:!?{}]""", " "), r"(?U)\s+", " "))
@@ -78,3 +106,9 @@ def enriched(query: Column, config: Config = DEFAULT) -> Column:
 
 def tier(score: Column, config: Config = DEFAULT) -> Column:
     return F.when(score >= config.high, "HIGH").when(score >= config.medium, "MEDIUM").otherwise("LOW")
+
+
+def with_normalized(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with ``name``: ``text`` folded as the scorer folds it. Only rows that need the kernel go to Python."""
+    plain = ~F.coalesce(needs_kernel(F.col(text)), F.lit(False))
+    return df.where(plain).withColumn(name, normalized(F.col(text))).unionByName(df.where(~plain).withColumn(name, normalized(F.col(text), True)))

@@ -8,9 +8,12 @@ shuffle of the pairs; it pays where pairs repeat often.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from placelink.functions.text import tier
 from placelink.lexicons import DEFAULT, Config
@@ -120,18 +123,40 @@ def _breakdown(scorer: Scorer, query, result) -> list:
     ]
 
 
+def _variants(name, aliases, codes) -> list[str]:
+    out: dict[str, str] = {}
+    for v in [name, *(() if aliases is None else aliases), *(() if codes is None else codes)] if name else []:
+        if v is not None and v.strip():
+            out.setdefault(unicodedata.normalize("NFD", v).strip().lower(), v.strip())
+    return list(out.values())
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _variants_column(name: pd.Series, aliases: pd.Series, codes: pd.Series) -> pd.Series:
+    return pd.Series([_variants(*x) for x in zip(name, aliases, codes)])
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _variants_of_each(places: pd.Series) -> pd.Series:
+    return places.map(lambda ps: [] if ps is None else [[] if p is None else _variants(p["name"], p["aliases"], p["codes"]) for p in ps])
+
+
 def variants(name: Column, aliases: Column, codes: Column) -> Column:
-    """Name, aliases and codes, the first of those that differ in case or outer blanks only;
-    accents tell them apart. Empty where the name is null or empty."""
-    listed = F.filter(F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>")), F.coalesce(codes, F.array().cast("array<string>"))), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    key = lambda v: F.lower(F.trim(v))
-    first = F.filter(listed, lambda v, i: F.array_position(F.transform(listed, key), key(v)) == i + 1)
-    return F.when(F.coalesce(name, F.lit("")) == "", F.array().cast("array<string>")).otherwise(first)
+    """Name, aliases and codes without outer white space, the first of those that differ only in case or
+    in how an accent is written; accents themselves tell them apart. Empty where the name is null or empty."""
+    return _variants_column(name, aliases, codes)
+
+
+def _best_first(names: Column, scores: Column) -> Column:
+    """(variant, score) entries, the best first, of equal ones in their order; of a repeated variant the first."""
+    rows = F.transform(names, lambda v, i: F.struct((-F.coalesce(F.get(scores, i), F.lit(0.0))).alias("minus"), i.alias("i"), v.alias("v")))
+    rows = F.filter(rows, lambda x: x["v"].isNotNull() & (F.array_position(names, x["v"]) == x["i"] + 1))
+    return F.transform(F.array_sort(rows), lambda x: F.struct(x["v"].alias("key"), F.get(scores, x["i"]).alias("value")))
 
 
 def with_best_variant(df: DataFrame, query: str = "query", variants_column: str = "variants", config: Config = DEFAULT) -> DataFrame:
     """``df`` with final_score, best_variant (of equal scores the first), variants_total and
-    all_scores (variant to score)."""
+    all_scores (variant to score, the best first)."""
     df = df.withColumn("__scores", scores_column(F.col(query), F.col(variants_column), config))
     best = F.array_max("__scores")
     return df.select(
@@ -139,7 +164,7 @@ def with_best_variant(df: DataFrame, query: str = "query", variants_column: str
         F.coalesce(best, F.lit(0.0)).alias("final_score"),
         F.try_element_at(F.col(variants_column), F.array_position("__scores", best).cast("int")).alias("best_variant"),
         F.size(variants_column).alias("variants_total"),
-        F.map_from_arrays(variants_column, "__scores").alias("all_scores"),
+        F.map_from_entries(_best_first(F.col(variants_column), F.col("__scores"))).alias("all_scores"),
     )
 
 
@@ -155,8 +180,7 @@ def score_candidates(df: DataFrame, query: str = "query", candidates: str = "can
 def best_candidates(df: DataFrame, k: int = 1, query: str = "query", candidates: str = "candidates", config: Config = DEFAULT) -> DataFrame:
     """The k best candidates of each query row, by score and then order, without a shuffle."""
     rest = [c for c in df.columns if c != candidates]
-    each = F.transform(candidates, lambda p: variants(p["name"], p["aliases"], p["codes"]))
-    df = df.withColumn("__variants", each).withColumn("__flat", F.flatten("__variants"))
+    df = df.withColumn("__variants", _variants_of_each(F.col(candidates))).withColumn("__flat", F.flatten("__variants"))
     df = df.withColumn("__scores", scores_column(F.col(query), F.col("__flat"), config))
     ends = F.aggregate("__variants", F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + F.size(v))))
     df = df.withColumn("__ends", ends)

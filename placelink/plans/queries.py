@@ -94,7 +94,8 @@ def garbage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return df.select("doc_id", F.md5(text.normalized(F.coalesce("text", F.lit(""))).cast("binary")).alias("folded_md5"))
+    df = text.with_normalized(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "folded")
+    return df.select("doc_id", F.md5(F.col("folded").cast("binary")).alias("folded_md5"))
 
 
 def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
