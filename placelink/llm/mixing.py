@@ -20,6 +20,8 @@ doc_id, which keeps the expectation; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -169,11 +171,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say; a null doc_id once."""
+    own = uuid.uuid4().hex  # so that no column of docs has these names
     rows = shared.stored(mix(docs, labels, targets, budget).select("doc_id", "copies"), "rates").where("doc_id IS NOT NULL")
-    rows = rows.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(rows.hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left")
-    times = F.explode(F.expr("CASE WHEN coalesce(__copies, 1) > 0 THEN sequence(1, coalesce(__copies, 1)) END")).alias("__n")
-    return out.select(*[docs[c] for c in docs.columns], times).drop("__n")
+    rows = rows.groupBy("doc_id").agg(F.max("copies").alias(f"copies_{own}")).withColumnRenamed("doc_id", f"id_{own}")
+    out = docs.join(rows.hint("merge"), docs["doc_id"].cast("long") == F.col(f"id_{own}"), "left")
+    times = F.coalesce(F.col(f"copies_{own}"), F.lit(1))
+    times = F.explode(F.when(times > 0, F.sequence(F.lit(1), times))).alias(f"n_{own}")
+    return out.select(*[docs[c] for c in docs.columns], times).drop(f"n_{own}")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
