@@ -8,6 +8,10 @@ shuffled with the documents. A document keeps its terms in the band (all terms,
 subsets of the lexicon: for each seed a nested row of subsets that hold 1/2, 1/4, 1/8, ... of it, down to rates at which a text
 with all codes has one term or none. A fingerprint ends at the last subset that isn't empty.
 
+``signatures`` are the keys to join on: the 64-bit hashes of the terms in each seed's first subset, a half of the
+lexicon, as I-Match has them. Documents with one in common are equal in all terms of that half.
+The 15-bit hashes of all subsets in a fingerprint serve the estimate of likeness only.
+
 The likeness of two fingerprints compares the subsets whose rate suits the number of terms, at any
 number, so that one or two terms fall in the largest of them: subsets with equal hashes over subsets that are not empty in both.
 
@@ -58,10 +62,10 @@ def part_hash(terms: str) -> Column:
     return F.hash(terms).bitwiseAND(F.lit(0x7FFF)).cast("smallint")
 
 
-def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int]) -> DataFrame:
+def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int], signatures: str = "") -> DataFrame:
     """``df`` with, for each column name in ``texts``, the 15-bit hashes of the subsets (level
-    by level, null for an empty subset) and their number of terms under ``<name>_terms``. Each
-    step is a projection of its own, so nothing is computed twice."""
+    by level, null for an empty subset) and their number of terms under ``<name>_terms``; for the
+    name ``signatures`` its join keys too. Each step is a projection of its own, so nothing is computed twice."""
     bits = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
     in_band = lambda c: F.getbit(F.get(bits, F.shiftright(c, 6)), c.bitwiseAND(F.lit(63))) == 1
     seeded = lambda j: lambda c: F.xxhash64(c, F.lit(j))
@@ -78,9 +82,13 @@ def with_fingerprints(df: DataFrame, texts: dict[str, str], bitmap: list[int]) -
         keep = [c for c in df.columns if not c.endswith(f"_{k - 1}") or not c.startswith("__")]
         subsets = [F.filter(f"__{n}_{j}_{k - 1}", clear(k)).alias(f"__{n}_{j}_{k}") for n in texts for j in range(SEEDS)]
         done = [F.when(F.size(f"__{n}_{j}_{k - 1}") > 0, part_hash(f"__{n}_{j}_{k - 1}")).alias(f"__h_{n}_{j}at{k - 1}") for n in texts for j in range(SEEDS)] if k > 1 else []
-        df = df.select(*keep, *subsets, *done)
+        keys = [F.when(F.size(f"__{signatures}_{j}_1") > 0, F.xxhash64(f"__{signatures}_{j}_1")).alias(f"__sig_{j}at") for j in range(SEEDS)] if k == 2 and signatures else []
+        df = df.select(*keep, *subsets, *done, *keys)
         for n in texts:
             hashes[n] += [f"__h_{n}_{j}at{k - 1}" for j in range(SEEDS)] if k > 1 else []
+    if signatures:
+        df = df.withColumn("signatures", F.array(*[f"__sig_{j}at" for j in range(SEEDS)]))
+        extra = [*extra, "signatures"]
     last = {f"__h_{n}_{j}at{LEVELS}": F.when(F.size(f"__{n}_{j}_{LEVELS}") > 0, part_hash(f"__{n}_{j}_{LEVELS}")) for n in texts for j in range(SEEDS)}
     for n in texts:
         hashes[n] += [f"__h_{n}_{j}at{LEVELS}" for j in range(SEEDS)]
@@ -142,7 +150,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     starts = starts.join(back.hint("merge"), "key").select(F.col("before_key").alias("key"), F.col("key").alias("next_key"), F.expr("left(text, int(wanted div 3))").alias("start"))
     both = rows.join(starts.hint("merge"), "key").select("key", "next_key", "top", "text", F.length("text").alias("n_chars"), F.expr("concat(left(text, length(text) - int(length(text) div 3)), left(start, int(length(text) div 3)))").alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    out = with_fingerprints(both, {"own": "text", "changed": "edited"}, bitmap).drop("text", "edited")
+    out = with_fingerprints(both, {"own": "text", "changed": "edited"}, bitmap, "own").drop("text", "edited")
     out = shared.stored(out, "fingerprints")
     other = out.where("top").dropDuplicates(["key"]) if repeated else out
     other = other.select(F.col("key").alias("next_key"), F.col("own").alias("following"), F.col("own_terms").alias("following_terms"))
@@ -155,6 +163,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         fingerprint_string("changed").alias("edited_fingerprint"),
         likeness("own", "changed").alias("near_edited"),
         likeness("own", "following").alias("near_next"),
+        "signatures",
     )
 
 

@@ -250,6 +250,79 @@ def test_sentences(spark):
     assert sentence_dedup.dedup_sentences(data.frame(spark).limit(0)).count() == 0
 
 
+def plain_sentences(rows, span=3, min_words=16, long=7, window=7):
+    """Sentence spans in plain Python: pieces of words by row, spans as word lists, first by (doc_id, place)."""
+    from placelink.llm.vectext import prefix_hash, span_hash
+
+    pieces, spans = {}, collections.defaultdict(set)
+    cut = r"[^ \t\n\x0b\f\r.!?,;:\"'()\[\]{}]+"
+    for i, t in rows:
+        b = (t or "").encode()
+        found = [(m.start(), m.end()) for m in re.finditer(cut.encode(), b)]
+        if not found:
+            pieces[i] = []
+            continue
+        low = np.frombuffer(lower(t), np.uint8)
+        h = span_hash(prefix_hash(low), *np.array(found).T)
+        sentences, now = [], []
+        for w, (s, e) in enumerate(found):
+            now.append(w)
+            if w + 1 == len(found) or re.search(rb"[.!?\n]", b[e : found[w + 1][0]]):
+                sentences.append(now)
+                now = []
+        least = {max(range(w, w + window), key=lambda x: (-int(h[x]), x)) for w in range(len(h) - window + 1)}
+        out, begins = [], []
+        for words in sentences:
+            begins.append(len(out))
+            piece = []
+            for w in words:
+                piece.append(w)
+                if w == words[-1] or len(words) > long and w in least:
+                    out.append(piece)
+                    piece = []
+        pieces[i] = out
+        words = [b[s:e].lower() for s, e in found]
+        runs = set(zip(begins, [*begins[span:], len(out)])) if len(begins) >= span else set()
+        for a in range(len(out)):
+            z = a + span
+            while z <= len(out) and sum(map(len, out[a:z])) < min_words:
+                z += 1
+            if z <= len(out):
+                runs.add((a, z))
+        for a, z in runs:
+            spans[tuple(words[w] for p in out[a:z] for w in p)].add((i, a, z))
+    gone = collections.defaultdict(set)
+    for places in spans.values():
+        first = min((i, a) for i, a, _ in places)
+        for i, a, z in places:
+            if (i, a) != first:
+                gone[i] |= set(range(a, z))
+    return {i: (len(p), len(gone[i])) for i, p in pieces.items()}
+
+
+def test_sentences_equal_plain_python(spark):
+    rows = [r[:2] for r in data.rows()[:-2]] + [(1000, "Short one. Two. Three. Four."), (1001, "Zero. short ONE. Two. Three."), (1002, "x"), (1003, "tie " * 40), (1004, "tie " * 40)]
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain_sentences(rows)
+
+
+def test_sentences_of_rows_without_ids_and_repeated_rows(spark):
+    text = "One two three four. Five six seven eight. Nine ten eleven twelve."
+    rows = [(None, text), (5, text), (5, text), (4, "Alone here."), (None, None)]
+    got = sentence_dedup.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("4", 0), ("5", 0), ("5", 0), ("None", 0), ("None", 3)]
+
+
+def test_lines_and_bytes_of_rows_without_ids(spark):
+    line = "this very line stands in several documents here"
+    rows = [(None, line), (1, line), (2, line), (3, "x\n" + line), (None, None), (9, "x" * 300), (None, "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [("1", 1), ("2", 1), ("3", 0), ("9", 0), ("None", 0), ("None", 0), ("None", 0)]
+    got = sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.dedup_substrings(df).collect())
+    assert got == [("1", 0), ("2", 0), ("3", 0), ("9", 300), ("None", 0), ("None", 0), ("None", 300)]
+
+
 def test_short_sentences_are_removed(spark):
     verse = "Red sky at night.\nSailor's delight.\nRed sky at morning.\nSailor's warning."  # three sentences have under 16 words
     rows = [(1, "Nothing else is said here at all.\n" + verse), (2, verse), (3, "One two.\nThree four."), (4, "One two.\nThree four.")]

@@ -37,6 +37,15 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_edges(spark):
+    """Empty table, very long text, repeated rows, clashing names."""
+    model = langid.fit(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de")], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "the dog and the cat " * 20000, "x", 1.0), (2, "die katze", "y", 2.0), (2, "die katze", "y", 2.0), (None, "die katze", None, None)], "doc_id long, text string, lang_pred string, score double")
+    got = sorted((str(r.doc_id), r.lang_pred) for r in langid.predict(docs, model).collect())
+    assert got == [("1", "en"), ("2", "de"), ("2", "de"), ("None", "de")]
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def toxic_bags(n=120, seed=4):
     rng = random.Random(seed)
     vocab = ["".join(rng.choice("aeioulnrstd") for _ in range(rng.randint(3, 8))) for _ in range(500)]
@@ -123,6 +132,39 @@ def test_mixing_meets_targets(spark):
     assert (out.rate >= 0).all() and (abs(out.copies - out.rate) < 1).all()
 
 
+def test_mixing_equals_dense_least_squares(spark):
+    """The distributed steps against projected gradient on the whole matrix in plain numpy, and optimality."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4] * 4, 300)
+    n = rng.integers(0, 400, 300)
+    names = ["a", "b", "c", "d"]
+    targets, budget = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, 1.1
+    rows = [(int(i), int(n[i]), p[i].tolist()) for i in range(300)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posteriors array<double>").repartition(7)
+    r = mixing.rates_of(p, mixing.fit_rates(members, names, targets, budget))
+    a = (p * n[:, None]).T / n.sum()
+    want = budget * np.array(list(targets.values()))
+    assert (r >= 0).all() and np.abs(a @ r - want).max() < 1e-5
+    dense = np.ones(300)
+    step = 1 / np.linalg.norm(a * n / n.sum(), 2) / 300
+    for _ in range(20000):
+        dense = np.maximum(0, dense - step * 300 * (a.T @ (a @ dense - want)))
+    assert np.linalg.norm(a @ r - want) <= np.linalg.norm(a @ dense - want) + 1e-5
+
+
+def test_mixing_edges(spark):
+    """Null and empty texts keep rate 1; missing target domains, clashing names, labels without a document."""
+    rows = [(i, ("the house of the dog " if i % 2 else "das haus und der hund ") * (1 + i % 5), "en" if i % 2 else "de", 7, 8) for i in range(40)]
+    rows += [(100, None, "en", 7, 8), (101, "", None, 7, 8), (None, "the dog", "en", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __n int, copies int")
+    labels = spark.createDataFrame([(i, i % 3 and 1) for i in range(40)] + [(999, 1), (3, None)], "doc_id long, quality int")
+    out = {r.doc_id: r for r in mixing.mix(docs, labels, {"en:1": 0.7, "de:1": 0.2, "fr:1": 0.1}).collect()}
+    assert len(out) == len(rows) and out[100].rate == out[101].rate == 1.0 and out[100].n_tokens == 0
+    kept = mixing.mixed_documents(docs, labels, {"en:1": 0.7, "de:1": 0.2, "fr:1": 0.1})
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    assert mixing.mix(docs.limit(0), labels).count() == 0
+
+
 def test_mixing_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = mixing.mixed_documents(data.frame(spark), none, budget=1.0)
@@ -180,6 +222,67 @@ def test_fingerprints_of_long_texts(spark):
     assert len(got) == 2 and all(r.near > 0.2 and r.far < 0.05 for r in got)
 
 
+MASK = 2**64 - 1
+
+
+def xx(data: bytes, seed: int = 42) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed=seed & MASK)
+
+
+def murmur(values, seed=42):
+    """Spark's hash of an array of longs."""
+    rot = lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
+    for v in values:
+        for half in (v & 0xFFFFFFFF, v >> 32):
+            k = rot(half * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+            seed = (rot(seed ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        seed ^= 8
+        for mul, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13), (1, 16)):
+            seed = (seed ^ seed >> shift) * mul & 0xFFFFFFFF
+    return seed
+
+
+def plain_imatch(texts, band):
+    """Fingerprints and signatures of I-Match in plain Python: codes, band of the document frequency,
+    nested halves of the lexicon for each seed, hashes of the sorted terms in each."""
+    import collections
+    import re
+    import struct
+
+    punct = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    codes = [{xx(w.encode()) & ((1 << fingerprints.CODE_BITS) - 1) for w in re.split(f"[\\s{punct}]+", (t or "").lower(), flags=re.A) if w} for t in texts]
+    df = collections.Counter(c for s in codes for c in s)
+    low, high = max(2, band[0] * len(texts)), max(2, band[1] * len(texts))
+    out = []
+    for s in codes:
+        kept = {c for c in s if low <= df[c] <= high}
+        terms = sorted(kept if len(kept) >= fingerprints.MIN_TERMS else s)
+        place = {(c, j): xx(struct.pack("<i", j), xx(struct.pack("<i", c))) for c in terms for j in range(fingerprints.SEEDS)}
+        prints, first = [], []
+        for k in range(1, fingerprints.LEVELS + 1):
+            for j in range(fingerprints.SEEDS):
+                part = [place[c, j] for c in terms if not any(place[c, j] >> b & 1 for b in range(1, k + 1))]
+                prints.append(murmur(part) & 0x7FFF if part else None)
+                if k == 1:
+                    h = 42
+                    for c in part:
+                        h = xx(struct.pack("<Q", c), h)
+                    first.append((h - (h >> 63 << 64)) if part else None)
+        while prints and prints[-1] is None:
+            prints.pop()
+        out.append((f"{len(terms)}:" + "".join("-" if h is None else f"{h:04x}" for h in prints), first))
+    return out
+
+
+def test_fingerprints_equal_plain_imatch(spark):
+    rows = [(i, t) for i, t in enumerate(["one two three four five six seven", "One, two three; four five six eight.", None, "", "é ü one", "one " * 50, *(" ".join(f"w{(7 * i + j * j) % 40}" for j in range(30)) for i in range(12))])]
+    got = {r.doc_id: (r.fingerprint, r.signatures) for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), (0.0, 0.6)).collect()}
+    want = plain_imatch([t for _, t in rows], (0.0, 0.6))
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_fingerprint_separates(spark):
     out = fingerprints.op10_imatch_fingerprints(spark, SF)
     r = out.agg(F.avg("near_edited").alias("a"), F.avg("near_next").alias("b"), F.avg((F.col("near_edited") > F.col("near_next")).cast("int")).alias("c")).first()
@@ -232,3 +335,20 @@ def test_pipeline(stages):
     assert copies.count() > 0.8 * stages[3][1].count()
     packed = stages[4][2].where("piece = 0").groupBy("doc_id").count()
     assert sorted(packed.collect()) == sorted(copies.collect())
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a clashing column; then no labels at all; then an empty table."""
+    import corpus_pipeline
+
+    rows = [(i, f"text number {i} has a few words of its own, as {i * 7} and {i * 13}") for i in range(12)]
+    rows += [(20, None), (21, ""), (None, "a text without an id"), (3, rows[3][1]), (30, rows[4][1].upper())]
+    docs = spark.createDataFrame([(*r, None, "s", 1, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for turn, table in enumerate((docs, docs.limit(0))):
+        table.write.parquet(str(tmp_path / f"{turn}/documents.parquet"))
+        labels.write.parquet(str(tmp_path / f"{turn}/labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / str(turn)))
+        ids = {r.doc_id for r in out.collect()}
+        assert ids <= {r[0] for r in rows} and (turn or {0, 1, 2, 3, 30, None} <= ids and 4 not in ids)
+        assert not turn or out.count() == 0
