@@ -78,6 +78,12 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("avg", F.round("avg", 6))
 
 
+def summary_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary for each class, here the region meant."""
+    scored = pairs.score_pairs(addresses(spark, sf_dir).withColumn("result", F.col("r_name")), distinct=True)
+    return report.summary(scored, "score", by=("r_name",)).withColumn("avg", F.round("avg", 6))
+
+
 def flat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.concat("p_name", F.lit(" , "), "p_brand", F.lit(",, "), "p_type")
     parts = split_flat(flat)
@@ -173,6 +179,7 @@ QUERIES = {
     "explained_pairs": explained,
     "score_report": score_report,
     "score_summary": score_summary,
+    "summary_by_region": summary_by_region,
     "distinct_pair_scores": distinct_pair_scores,
     "phonetic_codes": phonetic_codes,
     "flat_candidates": flat_candidates,
@@ -216,6 +223,8 @@ SELECT s_suppkey, pos, name, score AS final_score, name AS best_variant, 1::INTE
 SELECT s_suppkey, typed AS query, r_name AS result, score FROM addr JOIN final ON id = s_suppkey""",
     "score_summary": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, query, r_name AS result FROM addr)")}
 SELECT count(*) AS total, count(*) FILTER (WHERE score >= 0.75) AS high, count(*) FILTER (WHERE score >= 0.40 AND score < 0.75) AS medium, count(*) FILTER (WHERE score < 0.40) AS low, round(avg(score), 6) AS avg, min(score) AS min, max(score) AS max FROM final""",
+    "summary_by_region": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, query, r_name AS result FROM addr)")}
+SELECT r_name, count(*) AS total, count(*) FILTER (WHERE score >= 0.75) AS high, count(*) FILTER (WHERE score >= 0.40 AND score < 0.75) AS medium, count(*) FILTER (WHERE score < 0.40) AS low, round(avg(score), 6) AS avg, min(score) AS min, max(score) AS max FROM final JOIN addr ON id = s_suppkey GROUP BY r_name""",
     "best_region": f"""WITH {_ADDR}, s AS (SELECT s_suppkey, region.r_name AS best, levenshtein(upper(typed), region.r_name) AS edits FROM addr, region)
 SELECT s_suppkey, arg_min(best, (edits, best)) AS best, min(edits) AS edits FROM s GROUP BY s_suppkey""",
     "edit_tiers": f"""WITH {_ADDR}, s AS (SELECT round(1 - levenshtein(upper(typed), r_name)::DOUBLE / 10, 4) AS score FROM addr)

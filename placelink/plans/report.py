@@ -27,10 +27,11 @@ def report(cases: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return with_tier(rows.withColumn("pipeline", passed).drop("__d", "variants"), "final_score", config)
 
 
-def summary(scored: DataFrame, score: str = "final_score", config: Config = DEFAULT) -> DataFrame:
-    """total, high, medium, low, avg, min and max in one row, combined before the shuffle."""
+def summary(scored: DataFrame, score: str = "final_score", config: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """total, high, medium, low, avg, min and max in one row, or in one for each class of ``by``; combined
+    before the shuffle."""
     s = F.col(score)
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if(s >= config.high).alias("high"),
         F.count_if((s >= config.medium) & (s < config.high)).alias("medium"),
@@ -44,3 +45,26 @@ def summary(scored: DataFrame, score: str = "final_score", config: Config = DEFA
 def trace(scored: DataFrame) -> DataFrame:
     """One JSON line for each row's breakdown column ``debug``."""
     return scored.select(F.to_json("debug").alias("trace"))
+
+
+def trace_text(scored: DataFrame) -> DataFrame:
+    """The same breakdown to read: a line for each stage that the pair reached."""
+    d = lambda path: F.col(f"debug.{path}")
+    words = lambda path: F.concat_ws(" ", d(path))
+    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name:<10}"), value))
+    number = lambda path: F.when(d(path).isNotNull(), F.format_string("%.4f", d(path)))
+    full = d("stage4_raw").isNotNull()
+    token = F.transform(d("token_scores"), lambda t: F.format_string("          %s ~ %s: %.4f %s", t["query_token"], t["result_token"], t["score"], t["method"]))
+    lines = [
+        line("query", d("raw_query")),
+        line("result", d("raw_result")),
+        F.when(d("stage1_garbage"), "garbage"),
+        F.when(d("quick_exact"), "equal after folding"),
+        line("tokens", F.when(d("stage1_tokens").isNotNull(), F.concat(words("stage1_tokens.query"), F.lit(" | "), words("stage1_tokens.result")))),
+        line("enriched", F.when(full, words("stage2_enriched"))),
+        F.when(full & (F.size(token) > 0), F.array_join(token, "\n")),
+        line("raw", F.when(full, F.concat(number("stage4_raw"), F.lit(" "), F.coalesce(d("stage4_detail.method"), d("stage4_detail.best_sub_method"))))),
+        F.when(F.size(d("penalties_applied")) > 0, F.array_join(F.transform(d("penalties_applied"), lambda x: F.concat(F.lit("penalty   "), x)), "\n")),
+        line("final", number("final_score")),
+    ]
+    return scored.select(F.concat_ws("\n", *lines).alias("trace"))

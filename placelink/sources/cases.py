@@ -10,7 +10,7 @@ FORMATS = ("parquet", "json", "csv", "orc")
 
 def split_flat(flat: Column) -> Column:
     """``"Name, Alias, CODE"`` as its trimmed parts that are not empty."""
-    return F.filter(F.transform(F.split(flat, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(flat, ","), lambda x: F.regexp_replace(x, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")), lambda x: x != "")
 
 
 def place_of(flat: Column) -> Column:
@@ -31,10 +31,10 @@ def read_cases(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return reader.option("header", True).csv(path) if kind == "csv" else reader.format(kind).load(path)
 
 
-def write_report(report: DataFrame, path: str, kind: str = "parquet") -> None:
-    """The report's rows; a map column becomes JSON in CSV."""
+def write_report(report: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """The report's rows, in a folder for each class of ``by``; a map column becomes JSON in CSV."""
     if kind not in FORMATS:
         raise ValueError(f"kind must be one of {FORMATS}")
     if kind == "csv":
         report = report.withColumns({n: F.to_json(n) for n, t in report.dtypes if t.startswith(("map", "array", "struct"))})
-    report.write.mode("errorifexists").option("header", True).format(kind).save(path)
+    report.write.partitionBy(*by).mode("errorifexists").option("header", True).format(kind).save(path)

@@ -118,3 +118,26 @@ def test_scores_best_first_and_own_variants_may_repeat(spark):
     df = spark.createDataFrame([("Teheran Iran", ["x", "Iran", "Irann", "Iran"])], "query string, variants array<string>")
     r = with_best_variant(df).select("*", F.map_keys("all_scores").alias("names")).first()
     assert r.names[0] == "Iran" and r.best_variant == "Iran" and sorted(r.names) == ["Iran", "Irann", "x"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from placelink.__main__ import main
+    from placelink.sources import cases
+
+    rows = cases.cases_from(spark, [("10 Green Apt, Iran", "Iran, IRN"), ("Korea", "North Korea"), ("N/A", "x, y")])
+    cases.write_report(rows, str(tmp_path / "cases"), "json")
+    main(["report", str(tmp_path / "cases"), str(tmp_path / "out"), "--kind", "json", "--out-kind", "csv", "--by-tier"], spark)
+    out = capsys.readouterr().out
+    assert "'total': 3, 'high': 1, 'medium': 1, 'low': 1" in out
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"tier=HIGH", "tier=MEDIUM", "tier=LOW"}
+    main(["explain", "Corea del", "Korea"], spark)
+    out = capsys.readouterr().out
+    assert "corea ~ korea: 0.7920 fuzzy" in out and out.strip().endswith("final     0.7920")
+
+
+def test_summary_by_class(spark):
+    from placelink.plans import report
+
+    df = spark.createDataFrame([("a", 0.9), ("a", 0.5), ("b", 0.1)], "kind string, final_score double")
+    got = {r.kind: (r.total, r.high, r.medium, r.low) for r in report.summary(df, by=("kind",)).collect()}
+    assert got == {"a": (2, 1, 1, 0), "b": (1, 0, 0, 1)}
