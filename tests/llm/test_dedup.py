@@ -351,7 +351,7 @@ def test_queries_by_turns_in_one_session(spark):
     """Python workers outlive a query: a later one must not read an earlier one's filter."""
     want_lines, want_bytes = lines([r[:2] for r in data.rows()]), repeated([r[:2] for r in data.rows()], 200)
     want_join = linked([r[:2] for r in data.rows()], 4, 85)
-    for turn in range(6):
+    for turn in range(4):
         got = line_dedup.dedup_lines(data.frame(spark), keep_text=False).collect()
         assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == want_lines
         got = suffix_dedup.dedup_substrings(data.frame(spark), keep_text=False).collect()
