@@ -26,7 +26,7 @@ def _folds() -> tuple[str, str, str]:
         if len(f) == 1 and cp <= 0xFFFF and ord(f) <= 0xFFFF:
             src.append(c)
             dst.append(f)
-        elif len(f) != 1 or f != c:
+        elif f:  # marks themselves go by their category
             several.append(cp)
     ranges: list[list[int]] = []
     for cp in several:
@@ -56,7 +56,7 @@ def normalized(text: Column, whole: bool = False) -> Column:
 
 def needs_kernel(text: Column) -> Column:
     """Whether the text has letters that ``normalized`` folds only by the kernel."""
-    return text.rlike(f"[{_SEVERAL}]")
+    return text.rlike(r"[^\x{0}-\x{8FF}]") & text.rlike(f"[{_SEVERAL}]")  # the first is cheap; all such letters are beyond it
 
 
 def cleaned(norm: Column) -> Column:
