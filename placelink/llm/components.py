@@ -22,11 +22,14 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        done = [now]
         low = shared.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star", 2 * state[0])
+        done.append(low)
         large = shared.stored(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-edges", 2 * state[0])
         low = shared.stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-star", 2 * state[0])
         small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = shared.stored(small.distinct(), "edges", 2 * state[0])
+        shared.discard(*done, large, low)
         before, state = state, _state(now)
         if before == state:
             break
