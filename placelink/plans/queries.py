@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placelink.functions import kernels, text
 from placelink.lexicons import DEFAULT
-from placelink.operators import pairs
+from placelink.operators import candidates, pairs
 from placelink.plans import oracle, report
 from placelink.sources.cases import split_flat
 
@@ -84,6 +84,15 @@ def summary_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(scored, "score", by=("r_name",)).withColumn("avg", F.round("avg", 6))
 
 
+def place_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best places for each address, found among all regions and nations by the token index."""
+    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    name = lambda c: [F.col(c).alias("name"), F.array(F.initcap(c)).alias("aliases"), F.array().cast("array<string>").alias("codes")]
+    places = n.select(F.col("n_nationkey").cast("long").alias("place_id"), *name("n_name")).union(r.select((F.col("r_regionkey") + 100).cast("long").alias("place_id"), *name("r_name")))
+    found = candidates.match_places(addresses(spark, sf_dir).select("s_suppkey", "query"), places, 3)
+    return found.select("s_suppkey", F.col("rank").cast("long").alias("rank"), "place_id", "name", "score")
+
+
 def flat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.concat("p_name", F.lit(" , "), "p_brand", F.lit(",, "), "p_type")
     parts = split_flat(flat)
@@ -176,6 +185,7 @@ def _map(table: dict[str, str]) -> str:
 QUERIES = {
     "best_place": flagship,
     "candidate_scores": candidate_scores,
+    "place_matches": place_matches,
     "explained_pairs": explained,
     "score_report": score_report,
     "score_summary": score_summary,
@@ -219,6 +229,10 @@ SELECT s_suppkey, query, r_name, name, score, CASE WHEN score >= 0.75 THEN 'HIGH
 FROM cand JOIN final USING (id) QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, pos) = 1""",
     "candidate_scores": f"""WITH {_CANDIDATES}, {oracle.scored(_CANDIDATE_SRC)}
 SELECT s_suppkey, pos, name, score AS final_score, name AS best_variant, 1::INTEGER AS variants_total, concat('{{"', name, '":', score::VARCHAR, '}}') AS all_scores FROM cand JOIN final USING (id)""",
+    "place_matches": f"""WITH {_ADDR}, places AS (SELECT n_nationkey::BIGINT AS place_id, n_name AS name FROM nation UNION ALL SELECT r_regionkey::BIGINT + 100, r_name FROM region),
+every AS (SELECT s_suppkey, place_id, query, name, s_suppkey::BIGINT * 1000 + place_id AS id FROM addr, places), {oracle.scored("src AS (SELECT id, query, name AS result FROM every)")},
+ranked AS (SELECT s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, place_id) AS rank, place_id, name, score FROM every JOIN final USING (id) WHERE score > 0)
+SELECT s_suppkey, rank, place_id, name, score FROM addr LEFT JOIN (SELECT * FROM ranked WHERE rank <= 3) USING (s_suppkey)""",
     "distinct_pair_scores": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, typed AS query, r_name AS result FROM addr)")}
 SELECT s_suppkey, typed AS query, r_name AS result, score FROM addr JOIN final ON id = s_suppkey""",
     "score_summary": f"""WITH {_ADDR}, {oracle.scored("src AS (SELECT s_suppkey AS id, query, r_name AS result FROM addr)")}
