@@ -42,6 +42,8 @@ TRAIN_ROWS, LANDMARKS, DECAY, WIDTH, STEP, SPAN = 1500, 320, 0.6, 24, 12, 6
 SURE = 3.5
 #: Times that a positive token's rate in toxic texts must exceed that in clean ones; tokens to start from if none is sure.
 LEAN, FEW = 3.0, 20
+#: Text in one step of a task, whose arrays take some hundred bytes for a byte, and features in one step within it.
+STEP_BYTES, CELLS = 1 << 19, 1 << 18
 CLASSES = 64
 _class = np.full(256, -1, np.int32)
 _class[97:123] = np.arange(26)
@@ -122,10 +124,13 @@ def decisions(b: np.ndarray, start: np.ndarray, end: np.ndarray, vector: np.ndar
     out = np.zeros(len(start), np.float64)
     lens = end - start
     for n in np.unique(lens):
-        at = np.flatnonzero(lens == n)
-        codes, weights = features(b, start[at], int(n))
-        got = (vector[codes] * weights * (codes >= 0)).sum(1)
-        out[at] = got / np.sqrt(np.maximum(squared_norms(codes, weights), 1e-9))
+        same = np.flatnonzero(lens == n)
+        step = max(1, CELLS // (int(n) * len(_OFFSETS)))
+        for i in range(0, len(same), step):
+            at = same[i : i + step]
+            codes, weights = features(b, start[at], int(n))
+            got = (vector[codes] * weights * (codes >= 0)).sum(1)
+            out[at] = got / np.sqrt(np.maximum(squared_norms(codes, weights), 1e-9))
     return out
 
 
@@ -221,7 +226,7 @@ class Model:
 
 
 def _bags(it):
-    for rb in shared.batches(it, ["toxic", "text"]):
+    for rb in shared.batches(it, ["toxic", "text"], STEP_BYTES):
         b, s, e, row = token_spans(rb.column(1))
         raw, bags = b.tobytes(), [set() for _ in range(rb.num_rows)]
         for i, j, r in zip(s.tolist(), e.tolist(), row.tolist()):
@@ -398,7 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
 def _score(model):
     def run(it):
         m = model.value
-        for rb in shared.batches(it, ["doc_id", "text"], 2 << 20):
+        for rb in shared.batches(it, ["doc_id", "text"], STEP_BYTES):
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(m.scores(rb.column(1)))], ["doc_id", "score"])
 
     return run
@@ -415,7 +420,7 @@ def _keep(model, at: int, threshold: float):
     def run(it):
         m = model.value
         for rb in it:
-            for part in shared.batches([rb], [*["-"] * at, "text"], 2 << 20, at):
+            for part in shared.batches([rb], [*["-"] * at, "text"], STEP_BYTES, at):
                 ok = m.scores(part.column(at)) < threshold
                 if ok.any():
                     yield part.filter(pa.array(ok))

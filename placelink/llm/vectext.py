@@ -55,7 +55,7 @@ def _powers(bits: int, inverse: bool) -> np.ndarray:
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    return _powers(max(16, int(n).bit_length()), inverse)
+    return _powers(max(16, int(n - 1).bit_length()), inverse)
 
 
 def prefix_hash(b: np.ndarray) -> np.ndarray:
