@@ -44,7 +44,7 @@ from .vectext import U, mix, shingles
 
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: Text in one step of a task: its arrays take some hundred bytes for a byte.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Nodes of a list whose pairs are counted one by one.
 PAIRED = 8
 #: Sets in one block of a group, up to so many blocks; then blocks grow, up to so many shingles.
