@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
 def _members(model):
     def run(it):
         m = model.value
-        for rb in shared.batches(it, ["doc_id", "text"]):
+        for rb in shared.batches(it, ["doc_id", "text"], 1 << 20):
             b, off = utf8(rb.column(1))
             tokens = np.bincount(word_spans(b, off)[2], minlength=rb.num_rows)
             p = m.posteriors(rb.column(1))

@@ -56,7 +56,7 @@ def documents_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _profile_rows(fold: bool):
     def run(it):
-        for rb in shared.batches(it, ["label", "text"]):
+        for rb in shared.batches(it, ["label", "text"], 1 << 20):
             x = profiles(rb.column(1), fold=fold).astype(np.float16)
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
