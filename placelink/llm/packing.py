@@ -28,6 +28,8 @@ from . import shared
 from .bpe import encoder
 
 CAPACITY, END_ID = 2048, 0
+#: Text in one step of a task.
+STEP_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,7 +43,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
         enc = encoder(path)
         pid = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for rb in shared.batches(it, ["doc_id", "text"]):
+        for rb in shared.batches(it, ["doc_id", "text"], STEP_BYTES):
             ids, off = enc.encode([t or "" for t in rb.column(1).to_pylist()])
             n = np.diff(off) + 1
             docs = np.repeat(np.arange(len(n)), n)
